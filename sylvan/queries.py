@@ -1,0 +1,46 @@
+"""The named queries of the core and the SQL that checks them."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sylvan.operators import hierarchy
+from sylvan.session import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+@query("p1_found")
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.cyclic_ids(table(spark, d, "summary_nodes")).select(F.col("id").alias("node_id"))
+
+
+@query("p1_hierarchy")
+def p1_hierarchy(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.hierarchy(table(spark, d, "summary_nodes"))
+
+
+@query("p1_paths")
+def p1_paths(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.paths(table(spark, d, "summary_nodes"))
+
+
+@query("p1_descendants")
+def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.descendants(table(spark, d, "summary_nodes"))
