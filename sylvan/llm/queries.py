@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sylvan.llm import similarity
+from sylvan.llm import leakage, similarity, tokens
 from sylvan.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,3 +37,23 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 @query("p2_clusters")
 def p2_clusters(spark: SparkSession, d: str) -> DataFrame:
     return similarity.describe(_records(spark, d))
+
+
+@query("p7_ids")
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.token_ids(table(spark, d, "documents"))
+
+
+@query("p7_counts")
+def p7_counts(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.token_counts(table(spark, d, "documents"))
+
+
+@query("p8_found")
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+@query("p8_items")
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.report(table(spark, d, "documents"), table(spark, d, "eval_items"))
