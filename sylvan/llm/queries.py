@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sylvan.llm import leakage, similarity, tokens
+from sylvan.llm import leakage, lookalike, pieces, similarity, tokens
 from sylvan.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,3 +57,32 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 @query("p8_items")
 def p8_items(spark: SparkSession, d: str) -> DataFrame:
     return leakage.report(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    return pieces.items(table(spark, d, "input_docs"), table(spark, d, "chunks"))
+
+
+@query("p5_found")
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return pieces.oversized(_items(spark, d), table(spark, d, "split_limits"))
+
+
+@query("p5_pieces")
+def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return pieces.pieces(_items(spark, d), table(spark, d, "split_limits")).dropDuplicates(["item_kind", "item_id", "piece_no"])
+
+
+@query("p6_found")
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.pairs(table(spark, d, "chunks"))
+
+
+@query("p6_chunks")
+def p6_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.texts(table(spark, d, "chunks").dropDuplicates(["node_no"]), ["node_no"], "text")
+
+
+@query("p6_documents")
+def p6_documents(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.texts(table(spark, d, "input_docs").dropDuplicates(["doc_id"]), ["doc_id"], "content")
