@@ -43,7 +43,7 @@ _TAGS = (
     "section small span strong style sub summary sup svg table tbody td textarea tfoot th thead title tr tt u ul var wbr"
 ).split()
 _MARKUP = re.compile(r"</?(?:" + "|".join(sorted(_TAGS, key=len, reverse=True)) + r")(?:\s[^<>]*)?/?>|<!--|-->", re.IGNORECASE)
-_INVISIBLE = re.compile("[­͏؜᠎​-‏‪-‮⁠-⁤⁦-⁯︀-️﻿]")
+_INVISIBLE = re.compile("[\u00ad\u034f\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u206f\ufe00-\ufe0f\ufeff]")
 
 
 def _unescape(m: re.Match) -> str:

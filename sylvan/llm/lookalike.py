@@ -40,7 +40,7 @@ KINDS = {"<wide>", "<narrow>", "<compat>", "<noBreak>", "<initial>", "<medial>",
 #: Characters that look the same once drawn as another one would be wrong to merge.
 APART = ["O0", "Il", "l1", "éе", "eé", "аá", "–-", "—–", "’'", "“\"", "….", "²2", "①1", "½1", "カガ", "カか", "へベ", "一ー", "口ロ", "二ニ", "\n ", "\t ", "ßb", "øo", "ıi", "ŁL", "ñn"]
 #: Invisible code points outside the format category.
-BLANKS = "͏ᅟᅠ឴឵ㅤﾠ⠀"
+BLANKS = "\u034f\u115f\u1160\u17b4\u17b5\u3164\uffa0\u2800"
 _VIRAMAS = {c for c in map(chr, range(0x900, 0x1100)) if ud.combining(c) == 9}
 
 
@@ -70,7 +70,7 @@ def table() -> dict[str, str]:
             raw[c] = ""
         elif kind == "Zs":
             raw[c] = " "
-        elif c in "\x85  ":
+        elif c in "\x85\u2028\u2029":
             raw[c] = "\n"
         elif d := ud.decomposition(c):
             tag, _, rest = d.partition(" ") if d[0] == "<" else ("", "", d)
@@ -113,7 +113,7 @@ def _machine() -> re.Pattern:
     marks = _ranges([chr(n) for n in range(0x300, sys.maxunicode + 1) if ud.category(chr(n)) in ("Mn", "Mc") and ud.combining(chr(n))] + ["ﾞ", "ﾟ"])
     skip = _ranges([c for c, to in table().items() if not to])
     single = _ranges(list(table()))
-    return re.compile(f"\r\n?|[^\\s{marks}{skip}][{skip}]*(?:[{marks}][{skip}]*)+|‍|[{single}]")
+    return re.compile(f"\r\n?|[^\\s{marks}{skip}][{skip}]*(?:[{marks}][{skip}]*)+|\u200d|[{single}]")
 
 
 def _ranges(chars: list[str]) -> str:
@@ -136,7 +136,7 @@ def _emit(m: re.Match) -> str:
     s = m[0]
     if s[0] == "\r":
         return "\n"
-    if s == "‍":  # kept where it shapes what is seen: after a virama and inside emoji
+    if s == "\u200d":  # kept where it shapes what is seen: after a virama and inside emoji
         i = m.start()
         return s if i and (m.string[i - 1] in _VIRAMAS or ud.category(m.string[i - 1]) in ("So", "Sk", "Mn")) else ""
     to = _CLUSTERS.get(s)

@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 FILL = 0.5
 #: Strongest first. Each match's end is a place to cut.
 KINDS = [
-    re.compile(r"(?:\r\n|[\n\r  \x85])(?:[^\S\n\r]*(?:\r\n|[\n\r  \x85]))+"),
-    re.compile(r"\r\n|[\n\r  \x85]"),
+    re.compile(r"(?:\r\n|[\n\r\u2028\u2029\x85])(?:[^\S\n\r]*(?:\r\n|[\n\r\u2028\u2029\x85]))+"),
+    re.compile(r"\r\n|[\n\r\u2028\u2029\x85]"),
     re.compile(r"[.!?…](?:[\"'”’»)\]]*)\s+|[。！？｡．।॥።؟۔](?:[」』”’）》】]*)\s*"),
     re.compile(r"[,;:](?=\s)\s+|[、，；：،؛፣]\s*|\s[–—]\s"),
     re.compile(r"\s+"),
@@ -38,13 +38,13 @@ def trimmed_length(text: str) -> int:
 
 def _joined(c: str) -> bool:
     """Whether a cut before ``c`` would part a grapheme."""
-    return unicodedata.category(c) in ("Mn", "Mc", "Me") or c in "‍️" or "\U0001f3fb" <= c <= "\U0001f3ff"
+    return unicodedata.category(c) in ("Mn", "Mc", "Me") or c in "\u200d\ufe0f" or "\U0001f3fb" <= c <= "\U0001f3ff"
 
 
 def _safe(text: str, at: int, low: int) -> int:
     """The last place at or before ``at`` that parts no grapheme and no line end, if above ``low``."""
     k = at
-    while k > low and k < len(text) and (_joined(text[k]) or text[k - 1] == "‍" or (text[k] == "\n" and text[k - 1] == "\r")):
+    while k > low and k < len(text) and (_joined(text[k]) or text[k - 1] == "\u200d" or (text[k] == "\n" and text[k - 1] == "\r")):
         k -= 1
     return k if k > low else at
 
@@ -83,7 +83,7 @@ def split(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
         out.append((start, stop))
         back = stop - overlap
         if overlap:
-            while back < stop and (_joined(text[back]) or text[back - 1] == "‍"):
+            while back < stop and (_joined(text[back]) or text[back - 1] == "\u200d"):
                 back += 1
         start = back
 

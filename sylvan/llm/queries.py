@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sylvan.llm import leakage, lookalike, pieces, similarity, tokens
+from sylvan.llm import leakage, lookalike, pieces, sentences, similarity, tokens
 from sylvan.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,3 +86,21 @@ def p6_chunks(spark: SparkSession, d: str) -> DataFrame:
 @query("p6_documents")
 def p6_documents(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.texts(table(spark, d, "input_docs").dropDuplicates(["doc_id"]), ["doc_id"], "content")
+
+
+@query("p3_found")
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "input_docs").select("doc_id", "content").distinct()
+    return sentences.split(docs, "doc_id", "content", with_text=False).select("doc_id", "start_idx", "end_idx")
+
+
+@query("p3_sentences")
+def p3_sentences(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "input_docs").select("doc_id", "content").distinct()
+    return sentences.split(docs, "doc_id", "content")
+
+
+@query("p3_chunks")
+def p3_chunks(spark: SparkSession, d: str) -> DataFrame:
+    chunks = table(spark, d, "chunks").select("node_no", "text").distinct()
+    return sentences.split(chunks, "node_no", "text")
