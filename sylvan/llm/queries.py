@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sylvan.llm import leakage, lookalike, pieces, sentences, similarity, tokens
+from sylvan.llm import leakage, lookalike, pieces, sentences, similarity, tokens, truncation
 from sylvan.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -104,3 +104,18 @@ def p3_sentences(spark: SparkSession, d: str) -> DataFrame:
 def p3_chunks(spark: SparkSession, d: str) -> DataFrame:
     chunks = table(spark, d, "chunks").select("node_no", "text").distinct()
     return sentences.split(chunks, "node_no", "text")
+
+
+@query("p4_found")
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.found(table(spark, d, "summary_nodes"))
+
+
+@query("p4_sources")
+def p4_sources(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.rates(table(spark, d, "summary_nodes"))
+
+
+@query("p4_limits")
+def p4_limits(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.limits(table(spark, d, "summary_nodes"))
