@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sylvan.llm import leakage, lookalike, pieces, sentences, similarity, tokens, truncation
+from sylvan.llm import leakage, lookalike, pieces, prose, sentences, similarity, tokens, truncation
 from sylvan.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -119,3 +119,13 @@ def p4_sources(spark: SparkSession, d: str) -> DataFrame:
 @query("p4_limits")
 def p4_limits(spark: SparkSession, d: str) -> DataFrame:
     return truncation.limits(table(spark, d, "summary_nodes"))
+
+
+@query("p9_found")
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return prose.found(table(spark, d, "documents"), table(spark, d, "common_words"))
+
+
+@query("p9_statistics")
+def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return prose.statistics(table(spark, d, "documents"), table(spark, d, "common_words"))
