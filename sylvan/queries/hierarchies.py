@@ -1,30 +1,14 @@
-"""The named queries of the core and the SQL that checks them."""
+"""Problem 1: full hierarchies of the summary nodes."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sylvan.operators import hierarchy
+from sylvan.queries.registry import query
 from sylvan.session import table
 
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return add
-
 
 @query("p1_found")
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
