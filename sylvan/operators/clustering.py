@@ -54,12 +54,11 @@ def hard_groups(labels: DataFrame, keys: list[str], label: str, node: str) -> Da
 def soft_membership(rows: DataFrame, keys: list[str], node: str, probabilities: str, threshold: float = 0.1) -> DataFrame:
     """``keys, node, cluster_id, probability``: every cluster whose probability reaches the threshold;
     where none does, the first of the most probable ones."""
-    p = F.col(probabilities)
-    best = F.array_position(p, F.array_max(p)) - 1
-    kept = F.filter(F.transform(p, lambda x, k: F.struct(k.cast("int").alias("cluster_id"), x.alias("probability"))), lambda s: s["probability"] >= threshold)
-    fallback = F.array(F.struct(best.cast("int").alias("cluster_id"), F.array_max(p).alias("probability")))
-    chosen = F.when(F.size(kept) > 0, kept).otherwise(fallback)
-    return rows.where(F.size(p) > 0).select(*keys, node, F.explode(chosen).alias("c")).select(*keys, node, "c.cluster_id", "c.probability")
+    # one row for each probability; the best of a node and the node's others meet again by its key
+    each = rows.where(F.size(probabilities) > 0).select(*keys, node, F.array_max(probabilities).alias("top"), F.posexplode(probabilities).alias("cluster_id", "probability"))
+    first = F.min(F.when(F.col("probability") == F.col("top"), F.col("cluster_id"))).over(Window.partitionBy(*keys, node))
+    kept = (F.col("probability") >= threshold) | ((F.col("top") < threshold) & (F.col("cluster_id") == F.col("first")))
+    return each.withColumn("first", first).where(kept).select(*keys, node, "cluster_id", "probability")
 
 
 def forced(members: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:
@@ -78,7 +77,7 @@ def best_k(scores: DataFrame, keys: list[str]) -> DataFrame:
 
 def by_order(size: int = 5) -> Callable[[DataFrame], DataFrame]:
     """The deterministic clusterer: ``size`` neighbours in order form a cluster."""
-    return lambda nodes: nodes.select("doc_id", F.floor(F.col("ord") / size).cast("int").alias("cluster_id"), "ord")
+    return lambda nodes: nodes.withColumn("cluster_id", F.floor(F.col("ord") / size).cast("int"))
 
 
 def reduce(x: np.ndarray, components: int = 2) -> np.ndarray:

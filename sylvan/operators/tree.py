@@ -1,7 +1,9 @@
 """Levels of summaries up to one root for each document, all documents at once.
 
-Each level is one set of joins and ordered aggregations over the documents that still have more
-than one node; its result is written once, so a level never recomputes those below it.
+A level is one aggregation by document and cluster and one small one by document, over the
+documents that still have more than one node; its result is written once, so a level never
+recomputes those below it. No step gathers a whole document: a document that holds a third of all
+nodes is spread over its clusters.
 """
 
 from __future__ import annotations
@@ -13,9 +15,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sylvan.functions import text as T
-from sylvan.operators.clustering import by_order, forced
+from sylvan.operators.clustering import FORCE_BELOW, by_order
 from sylvan.session import cut
 
+#: Takes nodes of one level, gives them back with ``cluster_id``, a node once for each of its clusters.
 Clusterer = Callable[[DataFrame], DataFrame]
 MAX_LEVELS = 40
 
@@ -25,58 +28,55 @@ def summary_id(doc: Column, level: int, cluster: Column) -> Column:
     return F.sha2(F.concat_ws("/", doc, F.lit(level), cluster), 256)
 
 
-def concat_members(members: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys, context, members``: texts of each cluster's nodes in order, set apart by an empty line.
-    Members without a node are left out, clusters without any vanish."""
-    x = members.join(nodes, ["doc_id", "ord"]).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("ord", "text"))).alias("x"))
-    return x.select(*keys, F.array_join(F.transform("x", lambda s: F.coalesce(s["text"], F.lit(""))), "\n\n").alias("context"), F.size("x").alias("members"))
-
-
 def build(leaves: DataFrame, cluster: Clusterer | None = None, summarize: Callable[[Column], Column] = T.mock_summary) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Nodes, edges and trees of ``doc_id, ord, node_id, text`` (``ord`` from 0 without gaps).
 
     A document of one leaf gets a root of level 1 with the leaf's text. A level that clustering
     does not shrink is merged whole below 20 nodes; from 20 on the document stops with status
-    'unreduced' and its first node as root. Documents without leaves have no tree.
+    'unreduced' and its first node as root. Documents without leaves have no tree. A cluster's
+    texts are joined in member order by empty lines; a null text counts as empty.
     """
     cluster = cluster or by_order()
-    base = cut(leaves.select("doc_id", F.lit(0).alias("level"), F.col("ord").cast("int").alias("ord"), "node_id", F.lit(True).alias("is_leaf"), "text", F.lit(None).cast("int").alias("cluster_id")))
-    levels, edges, stopped = [base], [], []
-    cur = base
+    sizes = leaves.groupBy("doc_id").agg(F.count("*").alias("n"))
+    base = leaves.join(sizes, "doc_id").select(
+        "doc_id", F.lit(0).alias("level"), F.col("ord").cast("int").alias("ord"), "node_id", F.lit(True).alias("is_leaf"), "text", F.lit(None).cast("int").alias("cluster_id"), "n",
+        F.array().cast("array<struct<child_id:string,child_is_leaf:boolean>>").alias("kids"),
+    )
+    cur = cut(base)
+    levels, stopped = [cur], []
     for level in range(1, MAX_LEVELS):
-        counts = cur.groupBy("doc_id").agg(F.count("*").alias("n"))
-        active = counts.where("n > 1")
-        if level > 1 and active.isEmpty():
+        if level > 1 and cur.where("n > 1").isEmpty():
             break
-        if level == 1:
-            lone = cur.join(counts.where("n = 1").select("doc_id"), "doc_id", "left_semi")
-        members = forced(cluster(cur.join(active.select("doc_id"), "doc_id", "left_semi")), active, ["doc_id"])
-        stopped.append(members.where("stuck").select("doc_id").distinct())
-        members = members.where("not stuck").select("doc_id", "cluster_id", "ord")
-        text = concat_members(members, cur.select("doc_id", "ord", "text"), ["doc_id", "cluster_id"])
-        nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("cluster_id")) - 1
-        new = text.select(
-            "doc_id", F.lit(level).alias("level"), nth.cast("int").alias("ord"), summary_id(F.col("doc_id"), level, F.col("cluster_id")).alias("node_id"),
-            F.lit(False).alias("is_leaf"), summarize(F.col("context")).alias("text"), "cluster_id",
-        )
-        link = members.join(cur.select("doc_id", "ord", "node_id", "is_leaf"), ["doc_id", "ord"]).select(
-            "doc_id", summary_id(F.col("doc_id"), level, F.col("cluster_id")).alias("parent_id"), F.col("node_id").alias("child_id"), F.col("is_leaf").alias("child_is_leaf"),
-            (F.row_number().over(Window.partitionBy("doc_id", "cluster_id").orderBy("ord")) - 1).alias("ord"),
+        members = cluster(cur.where("n > 1").select("doc_id", "ord", "node_id", "is_leaf", "text", "n"))
+        one = F.struct("ord", "node_id", "is_leaf", F.coalesce("text", F.lit("")).alias("text"))
+        groups = cut(members.groupBy("doc_id", "cluster_id").agg(F.sort_array(F.collect_list(one)).alias("x"), F.first("n").alias("n")))
+        per_doc = groups.groupBy("doc_id").agg(F.count("*").alias("k"), F.max("cluster_id").alias("last"))
+        g = groups.join(per_doc, "doc_id").withColumn("same", F.col("k") == F.col("n"))
+        stopped.append(g.where(F.col("same") & (F.col("n") >= FORCE_BELOW)).select("doc_id").distinct())
+        # cluster ids without gaps are the order; only where some are missing are they counted
+        dense = F.col("last") + 1 == F.col("k")
+        nth = F.row_number().over(Window.partitionBy("doc_id", F.when(dense, F.col("cluster_id"))).orderBy("cluster_id")) - 1
+        grown = g.where("not same").withColumn("at", F.when(dense, F.col("cluster_id")).otherwise(nth)).select("doc_id", F.col("at").cast("int").alias("at"), "cluster_id", "x", F.col("k").alias("n"))
+        merged = g.where(F.col("same") & (F.col("n") < FORCE_BELOW)).groupBy("doc_id").agg(F.sort_array(F.flatten(F.collect_list("x"))).alias("x"))
+        new = grown.union(merged.select("doc_id", F.lit(0), F.lit(0), "x", F.lit(1).cast("long")))
+        context = F.array_join(F.transform("x", lambda s: s["text"]), "\n\n")
+        kids = F.transform("x", lambda s: F.struct(s["node_id"].alias("child_id"), s["is_leaf"].alias("child_is_leaf")))
+        rows = new.select(
+            "doc_id", F.lit(level).alias("level"), F.col("at").alias("ord"), summary_id(F.col("doc_id"), level, F.col("cluster_id")).alias("node_id"), F.lit(False).alias("is_leaf"),
+            summarize(context).alias("text"), "cluster_id", "n", kids.alias("kids"),
         )
         if level == 1:
-            root = summary_id(F.col("doc_id"), 1, F.lit(0))
-            new = new.union(lone.select("doc_id", F.lit(1), F.lit(0), root, F.lit(False), "text", F.lit(0)))
-            link = link.union(lone.select("doc_id", root, "node_id", F.lit(True), F.lit(0)))
-        edges.append(cut(link))
-        cur = cut(new)
+            alone = F.array(F.struct(F.col("node_id").alias("child_id"), F.lit(True).alias("child_is_leaf")))
+            rows = rows.union(cur.where("n = 1").select("doc_id", F.lit(1), F.lit(0), summary_id(F.col("doc_id"), 1, F.lit(0)), F.lit(False), "text", F.lit(0), "n", alone))
+        cur = cut(rows)
         levels.append(cur)
-    nodes = reduce(DataFrame.unionByName, levels)
-    link = reduce(DataFrame.unionByName, edges)
+    every = reduce(DataFrame.unionByName, levels)
+    edges = every.select("doc_id", F.col("node_id").alias("parent_id"), F.posexplode("kids").alias("ord", "kid")).select("doc_id", "parent_id", "kid.child_id", "kid.child_is_leaf", "ord")
     stuck = reduce(DataFrame.union, stopped).distinct().withColumn("stuck", F.lit(True))
-    top = nodes.groupBy("doc_id").agg(F.max("level").alias("levels"))
-    root = nodes.join(top, "doc_id").where("level = levels and ord = 0").join(stuck, "doc_id", "left")
+    top = every.groupBy("doc_id").agg(F.max("level").alias("levels"))
+    root = every.where("ord = 0").join(top, "doc_id").where("level = levels").join(stuck, "doc_id", "left")
     status = F.when(F.coalesce("stuck", F.lit(False)), "unreduced").otherwise("complete")
-    return nodes, link, root.select("doc_id", F.col("node_id").alias("root_id"), "levels", status.alias("status"))
+    return every.drop("n", "kids"), edges, root.select("doc_id", F.col("node_id").alias("root_id"), "levels", status.alias("status"))
 
 
 def occurrences(nodes: DataFrame, edges: DataFrame, trees: DataFrame) -> DataFrame:

@@ -75,7 +75,7 @@ def layout(wide: DataFrame) -> DataFrame:
 def canvas_edges(places: DataFrame) -> DataFrame:
     """``doc_id, edge_no, id, from_node, to_node``: an edge follows the child's whole subtree."""
     name = T.display_id(F.col("node_id"), F.col("is_leaf"))
-    child = places.where("depth > 0").select("doc_id", "path", F.slice("path", 1, F.col("depth") - 1).alias("up"), name.alias("to_node"))
+    child = places.where("depth > 0").select("doc_id", "path", F.slice("path", 1, F.greatest(F.col("depth") - 1, F.lit(0))).alias("up"), name.alias("to_node"))
     parent = places.select("doc_id", F.col("path").alias("up"), name.alias("from_node"))
     e = child.join(parent, ["doc_id", "up"])
     at = Window.partitionBy("doc_id").orderBy(F.array_append("path", F.lit(2147483647)))

@@ -46,7 +46,8 @@ def clusterer(config: PipelineConfig, embed: Callable[[Column], Column]) -> tree
     def cluster(nodes: DataFrame) -> DataFrame:
         vectors = cut(nodes.select("doc_id", "ord", embed(F.col("text")).alias("embedding")))
         p = clustering.mixture(vectors, config.n_clusters, config.random_state, config.large_scale_threshold)
-        return clustering.soft_membership(p, ["doc_id"], "ord", "probabilities", config.clustering_probability_threshold).select("doc_id", "cluster_id", "ord")
+        member = clustering.soft_membership(p, ["doc_id"], "ord", "probabilities", config.clustering_probability_threshold)
+        return nodes.join(cut(member.select("doc_id", "ord", "cluster_id")), ["doc_id", "ord"])
 
     return cluster
 

@@ -88,17 +88,27 @@ w AS (SELECT vec_id, k, exp(-(dist - min(dist) OVER (PARTITION BY vec_id)) / 0.2
 p AS (SELECT vec_id, k, round(w / sum(w) OVER (PARTITION BY vec_id), 6) AS p FROM w)"""
 
 
+#: Most labels whose means are fetched to score every vector against.
+MOST_LABELS = 1_000
+
+
 def probabilities(spark: SparkSession, d: str) -> DataFrame:
-    """``vec_id, p``: for each vector the softmax of its distances to the label means (a few labels)."""
+    """``vec_id, p``: for each vector the softmax of its distances to the label means. The means are
+    a fixed small set (checked) and travel with the plan; vectors are only grouped by their own id."""
     e = table(spark, d, "embeddings")
     parts = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
     cent = parts.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("c"))
-    all_ = cent.agg(F.sort_array(F.collect_list(F.struct("label", "c"))).alias("cs"))
-    dist = F.transform("cs", lambda s: F.round(F.sqrt(F.aggregate(F.zip_with(F.col("embedding").cast("array<double>"), s["c"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, x: t + x)), 9))
-    near = e.join(F.broadcast(all_)).select("vec_id", dist.alias("dist"))  # one row: the label means
-    w = F.transform("dist", lambda x: F.exp(-(x - F.array_min("dist")) / 0.2))
-    total = F.aggregate("w", F.lit(0.0), lambda t, x: t + x)
-    return near.select("vec_id", w.alias("w")).select("vec_id", F.transform("w", lambda x: F.round(x / total, 6)).alias("p"))
+    means = cent.orderBy("label").limit(MOST_LABELS + 1).collect()
+    if len(means) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels")
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.array(*map(F.lit, r["c"])).alias("c")) for k, r in enumerate(means)]))
+    rows = e.select("vec_id", F.col("embedding").cast("array<double>").alias("e"), each.alias("m"))
+    gap = F.zip_with("e", "m.c", lambda a, b: (a - b) * (a - b))
+    near = rows.select("vec_id", "m.k", F.round(F.sqrt(F.aggregate(gap, F.lit(0.0), lambda t, x: t + x)), 9).alias("dist"))
+    least = near.groupBy("vec_id").agg(F.min("dist").alias("least"), F.collect_list(F.struct("k", "dist")).alias("x"))
+    w = least.select("vec_id", F.explode(F.transform("x", lambda s: F.struct(s["k"].alias("k"), F.exp(-(s["dist"] - F.col("least")) / 0.2).alias("w")))).alias("y"))
+    total = w.groupBy("vec_id").agg(F.sum("y.w").alias("total"), F.sort_array(F.collect_list("y")).alias("y"))
+    return total.select("vec_id", F.transform("y", lambda s: F.round(s["w"] / F.col("total"), 6)).alias("p"))
 
 
 @query(
