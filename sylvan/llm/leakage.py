@@ -123,16 +123,18 @@ class Index:
             if not len(near):
                 continue
             known = terms.tolist()
-            runs: dict[bytes, int] = {}
+            runs: dict[bytes, list[int]] = {}  # a passage may hold the ends of two texts, and a run in both
             for block in near.tolist():
                 for k in range(block * BLOCK, min((block + 1) * BLOCK, len(self.ids))):
                     impact = self.postings[k]
                     if sum(impact.get(t, 0.0) for t in known) < self.threshold[k]:
                         continue
                     if not runs:
-                        runs = {part[a : a + RUN].tobytes(): a for a in range(len(part) - RUN, -1, -1)}
+                        for a in range(len(part) - RUN + 1):
+                            runs.setdefault(part[a : a + RUN].tobytes(), []).append(a)
                     for run in self.runs[k] & runs.keys():
-                        yield start + runs[run], k
+                        for a in runs[run]:
+                            yield start + a, k
 
 
 class _Numbers(dict):
