@@ -27,7 +27,7 @@ from sylvan.llm import lookalike
 NEVER = {
     "en": "dr mr mrs ms prof st gen col sgt capt lt rev hon gov sen rep messrs mt ft no nos fig figs sec ch vol pp p eq ed eds vs cf e.g i.e viz approx est al ca c dept ave blvd art op para",
     "de": "nr abb s bd z.b d.h u.a o.ä v.a s.o s.u z.t i.d.r evtl ggf inkl exkl ca bzw vgl hr fr frau dipl ing geb tab kap art abs str sog z d u",
-    "fr": "m mm mme mmes mlle mlles mgr me n env fig p pp art ex chap vol réf p.ex c.-à-d av bd cf éd",
+    "fr": "m mme mmes mlle mlles mgr me n env fig p pp art ex chap vol réf p.ex c.-à-d av bd cf éd",
     "es": "sr sra srta sres dra d dña ee pág págs p p.ej ej aprox núm art cap fig av vol dpto ud uds lic ing véase tel",
     "ru": "им рис табл ок стр гл ст см т т.е т.д т.п т.н напр акад проф доц ул пл просп тел е св гр тов",
     "el": "κ κα κ.κ π.χ σελ αρ αριθ βλ εικ πίν κεφ δηλ δρ καθ λεωφ οδ τ.μ χλμ πρβλ ο.π",
