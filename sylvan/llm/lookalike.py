@@ -113,7 +113,8 @@ def _machine() -> re.Pattern:
     marks = _ranges([chr(n) for n in range(0x300, sys.maxunicode + 1) if ud.category(chr(n)) in ("Mn", "Mc") and ud.combining(chr(n))] + ["ﾞ", "ﾟ"])
     skip = _ranges([c for c, to in table().items() if not to])
     single = _ranges(list(table()))
-    return re.compile(f"\r\n?|[^\\s{marks}{skip}][{skip}]*(?:[{marks}][{skip}]*)+|\u200d|[{single}]")
+    hangul = "[\u1100-\u1112][\u1161-\u1175][\u11a8-\u11c2]?|[\uac00-\ud7a3][\u11a8-\u11c2]"
+    return re.compile(f"\r\n?|{hangul}|[^\\s{marks}{skip}][{skip}]*(?:[{marks}][{skip}]*)+|\u200d|[{single}]")
 
 
 def _ranges(chars: list[str]) -> str:
