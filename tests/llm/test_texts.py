@@ -189,3 +189,28 @@ def test_mixture_is_repeatable():
     x = known[rng.integers(len(known), size=400)] + rng.normal(0, 0.02, (400, known.shape[1]))
     fit = [prose.Mixture(known.mean(axis=0), known.std(axis=0) + 1e-6).fit(x, known, label).classes(x) for _ in range(2)]
     assert (fit[0] == fit[1]).all()
+
+
+def test_empty_tables_and_clashing_columns(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, ids string, label string, content string")
+    nodes = spark.createDataFrame([], "id string, source string, text string, state string, k long")
+    items = spark.createDataFrame([], "item_kind string, item_id long, text string, piece_no int")
+    limits = spark.createDataFrame([], "item_kind string, max_chars int, overlap_chars int")
+    words = spark.createDataFrame([], "lang string, word string, word_rank int")
+    evals = spark.createDataFrame([], "item_id long, suite string, text string, documents long")
+    from sylvan.llm import sentences
+
+    for got in (
+        tokens.token_ids(docs), truncation.found(nodes), truncation.rates(nodes), truncation.limits(nodes), pieces.pieces(items, limits), pieces.oversized(items, limits),
+        prose.statistics(docs, words), leakage.leaks(docs, evals), leakage.report(docs, evals), sentences.split(docs, "doc_id", "text"), lookalike.texts(docs, ["doc_id"], "text"),
+    ):
+        assert got.isEmpty()
+
+
+def test_very_long_texts(spark):
+    long = "word " * 400_000
+    df = spark.createDataFrame([(1, long, "x" * 2_000_000)], "doc_id long, text string, blob string")
+    assert len(tokens.token_ids(df).first().ids) == 400_001
+    assert lookalike.canonical("é" * 500_000) == "é" * 500_000
+    assert len(pieces.split(long, 9000, 400)) == 1 + -(-(len(long.strip()) - 9000) // 8600) or len(pieces.split(long, 9000, 400)) > 200
+    assert truncation.ending(long)[0] == "open"
