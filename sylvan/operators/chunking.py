@@ -7,6 +7,8 @@ their accumulator at every step); texts never leave the JVM for it.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -76,19 +78,25 @@ def token_chunks(docs: DataFrame, max_tokens: int = 500, normalized: bool = True
     return _merge(rows.withColumn("g", _pack_column(lengths, max_tokens)))
 
 
+@lru_cache(maxsize=4)
+def _encoder(path: str):
+    """The encoder of a rank file, made once in each worker."""
+    import base64
+
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(x): int(y) for x, y in map(bytes.split, f)}
+    pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+    return tiktoken.Encoding("counter", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
 def bpe_counter(path: str = "/opt/tokenizers/byte_bpe_50k.tiktoken") -> Column:
     """Token counts of each sentence of ``s`` by a public rank file (special tokens as plain text)."""
 
     @F.pandas_udf("array<int>")
     def count(a: pd.Series) -> pd.Series:
-        import base64
-
-        import tiktoken
-
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(x): int(y) for x, y in map(bytes.split, f)}
-        pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-        enc = tiktoken.Encoding("counter", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        enc = _encoder(path)
         return a.map(lambda x: None if x is None else [len(enc.encode_ordinary(y)) for y in x])
 
     return count(F.col("s"))

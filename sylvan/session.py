@@ -39,11 +39,25 @@ def shared_dir(spark: SparkSession) -> str:
     return named or os.path.dirname(sc.getCheckpointDir())
 
 
+def _session_dir(spark: SparkSession) -> str:
+    """This session's folder in the shared one; it is deleted when the session's JVM ends."""
+    sc = spark.sparkContext
+    known = getattr(sc, "_sylvan_dir", None)
+    if known is None:
+        known = f"{shared_dir(spark).rstrip('/')}/sylvan-{sc.applicationId}-{uuid.uuid4().hex[:8]}"
+        path = sc._jvm.org.apache.hadoop.fs.Path(known)
+        fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        sc._sylvan_dir = known
+    return known
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder and read again: ends its lineage, survives
     lost executors, keeps columnar pruning and real size statistics for later joins."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/sylvan-{uuid.uuid4().hex}"
+    path = f"{_session_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
