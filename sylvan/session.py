@@ -53,6 +53,16 @@ def _session_dir(spark: SparkSession) -> str:
     return known
 
 
+def put(spark: SparkSession, name: str, data: bytes) -> str:
+    """The path of a file with ``data`` in this session's folder."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{_session_dir(spark)}/{name}")
+    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path, True)
+    out.write(data)
+    out.close()
+    return path.toString()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder and read again: ends its lineage, survives
     lost executors, keeps columnar pruning and real size statistics for later joins."""
