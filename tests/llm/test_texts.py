@@ -165,7 +165,11 @@ def test_leaks_equal_brute_force(spark):
     assert leakage.leaks(d, i.limit(0)).isEmpty()
 
 
-PROSE = "This page shows how to move the data without losing what is in the queue. Most of the time you will want to start it first. " * 4
+PROSE = (
+    "This page shows how to move the data without losing what is in the queue. Most of the time you will want to start it first. "
+    "If the cache stops before the job is done, then it is safe to run the loader by hand. We wrote this because nothing else was stable. "
+    "Why does the parser call the index twice? Nobody on the team could say, and the old notes were not of any help. "
+)
 CODE = "def load(queue, limit=None):\n    rows = []\n    for row in queue:\n        rows.append(row[2:])\n    return rows\n\n" * 5
 SALAD = "batch that be header window in as token the buffer shard is with this config for of to a cursor index on it\n" * 8
 LISTED = "".join(f"{k}. Item{chr(97 + k % 26)} route;\n" for k in range(60))
