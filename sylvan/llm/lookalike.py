@@ -183,13 +183,19 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def pairs(df: DataFrame, key: str = "node_no", text: str = "text") -> DataFrame:
     """``(node_no_a, node_no_b)``: rows whose texts read the same but are different code points,
     smaller number first. Rows delivered twice count once; null and empty texts form no pair.
-    Only digests of 16 bytes are shuffled; forms with a single spelling drop out before the join,
-    which is spread over both spellings, so a much copied text does not make one hot key.
+
+    Only digests of 16 bytes are shuffled. Forms with a single spelling drop out; the others pair
+    their distinct spellings, and each pair of spellings then meets its rows, so copies of one
+    spelling are never compared with each other and every row that is joined is a result.
     """
     rows = df.where(F.col(key).isNotNull() & (F.length(text) > 0)).select(F.col(key).alias("node_no"), text)
     marked = rows.mapInArrow(_digests, "node_no long, form binary, raw binary").distinct()
-    several = marked.groupBy("form", "raw").agg(F.lit(1).alias("one")).groupBy("form").agg(F.count("*").alias("n")).where("n > 1").select("form")
+    spelling = marked.groupBy("form", "raw").agg(F.lit(1).alias("one"))
+    several = spelling.groupBy("form").agg(F.count("*").alias("n")).where("n > 1").select("form")
+    some = spelling.join(several, "form", "left_semi")
+    ra, rb = (some.select("form", F.col("raw").alias(x)) for x in ("ra", "rb"))
+    twins = ra.join(rb, "form").where("ra < rb").select("ra", "rb")
     left = marked.join(several, "form", "left_semi")
-    a, b = (left.select("form", F.col("node_no").alias(f"n{x}"), F.col("raw").alias(f"r{x}")) for x in "ab")
-    hit = a.join(b, "form").where("na < nb and ra <> rb")
-    return hit.select(F.col("na").alias("node_no_a"), F.col("nb").alias("node_no_b")).distinct()
+    a, b = (left.select(F.col("raw").alias(f"r{x}"), F.col("node_no").alias(f"n{x}")) for x in "ab")
+    hit = twins.join(a, "ra").join(b, "rb").where("na <> nb")
+    return hit.select(F.least("na", "nb").alias("node_no_a"), F.greatest("na", "nb").alias("node_no_b")).distinct()

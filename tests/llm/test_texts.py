@@ -47,6 +47,8 @@ def test_pairs(spark):
     got = sorted(map(tuple, lookalike.pairs(spark.createDataFrame(rows, "node_no long, text string")).collect()))
     assert got == [(1, 2), (1, 7), (2, 3), (2, 7), (3, 7)]
     assert lookalike.pairs(spark.createDataFrame([], "node_no long, text string")).isEmpty()
+    hot = spark.range(30_000).selectExpr("id AS node_no", "if(id = 7, 'ﬁlter', 'filter') AS text")
+    assert lookalike.pairs(hot).count() == 29_999
 
 
 @given(st.text(alphabet="ab .\n。é👍‍ ", max_size=300), st.integers(2, 40), st.integers(0, 30))
