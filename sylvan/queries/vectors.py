@@ -153,12 +153,11 @@ def forced_reduction(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _groups(spark: SparkSession, d: str) -> DataFrame:
-    """The vectors as four documents of nodes in order."""
+    """The vectors of each label as the nodes of one document, in order."""
     e = table(spark, d, "embeddings")
     from pyspark.sql import Window
 
-    doc = F.pmod(F.col("vec_id"), F.lit(40)).alias("doc_id")
-    return e.select(doc, "vec_id", "embedding").withColumn("ord", (F.row_number().over(Window.partitionBy("doc_id").orderBy("vec_id")) - 1).cast("int")).select("doc_id", "ord", "embedding")
+    return e.select(F.col("label").cast("long").alias("doc_id"), "vec_id", "embedding").withColumn("ord", (F.row_number().over(Window.partitionBy("doc_id").orderBy("vec_id")) - 1).cast("int")).select("doc_id", "ord", "embedding")
 
 
 @query("gmm_bic")
