@@ -282,7 +282,7 @@ def sentences(text: str) -> list[tuple[int, int]]:
 def split(df: DataFrame, key: str, text: str, with_text: bool = True) -> DataFrame:
     """``key, pos, start_idx, end_idx[, sentence]`` of every sentence of every non-null text.
 
-    Rows delivered twice must be dropped by the caller; a blank or empty text and a null key give
+    Rows delivered twice give their sentences twice, for the caller to make distinct; a blank or empty text and a null key give
     no rows. One pass, no shuffle; a text is held by one task, as its row is.
     """
     fields = f"{key} long, pos int, start_idx int, end_idx int" + (", sentence string" if with_text else "")
