@@ -10,7 +10,12 @@ from sylvan.queries.registry import query
 from sylvan.session import table
 
 
-@query("p1_found")
+LINKS_SQL = """WITH RECURSIVE e AS (SELECT DISTINCT id AS s, unnest(children_indices) AS d FROM summary_nodes WHERE id IS NOT NULL),
+l AS (SELECT s, d FROM e WHERE d IS NOT NULL AND NOT regexp_full_match(d, '[0-9]{1,6}') AND d IN (SELECT id FROM summary_nodes WHERE id IS NOT NULL)),
+r(s, d) AS (SELECT s, d FROM l UNION SELECT r.s, l.d FROM r JOIN l ON l.s = r.d)"""
+
+
+@query("p1_found", f"{LINKS_SQL} SELECT DISTINCT s AS node_id FROM r WHERE s = d")
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.cyclic_ids(table(spark, d, "summary_nodes")).select(F.col("id").alias("node_id"))
 
@@ -25,6 +30,11 @@ def p1_paths(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.paths(table(spark, d, "summary_nodes"))
 
 
-@query("p1_descendants")
+@query(
+    "p1_descendants",
+    f"""{LINKS_SQL}, c AS (SELECT DISTINCT s AS id FROM r WHERE s = d), a AS (SELECT s, d FROM l WHERE s NOT IN (SELECT id FROM c) AND d NOT IN (SELECT id FROM c)),
+  w(s, d, k) AS (SELECT s, d, 1 FROM a UNION SELECT w.s, a.d, w.k + 1 FROM w JOIN a ON a.s = w.d)
+  SELECT s AS ancestor, d AS descendant, min(k)::INTEGER AS distance FROM w GROUP BY 1, 2""",
+)
 def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.descendants(table(spark, d, "summary_nodes"))
