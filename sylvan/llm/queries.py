@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sylvan.llm import leakage, lookalike, pieces, prose, sentences, similarity, tokens, truncation
+from sylvan.queries.sentences import strip_sql
 from sylvan.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,7 +64,11 @@ def _items(spark: SparkSession, d: str) -> DataFrame:
     return pieces.items(table(spark, d, "input_docs"), table(spark, d, "chunks"))
 
 
-@query("p5_found")
+@query(
+    "p5_found",
+    f"""WITH i AS (SELECT 'document' AS item_kind, doc_id AS item_id, content AS text FROM input_docs UNION ALL SELECT 'chunk', node_no, text FROM chunks)
+  SELECT DISTINCT i.item_kind, i.item_id FROM i JOIN split_limits l USING (item_kind) WHERE i.item_id IS NOT NULL AND length({strip_sql("i.text")}) > l.max_chars""",
+)
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return pieces.oversized(_items(spark, d), table(spark, d, "split_limits"))
 
