@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sylvan.session import cut
+
 #: Cyrillic, Greek and other letters drawn like a Latin letter, and that letter.
 LOOKALIKES = {
     "АВЕЅІЈКМНОРСТУХҮԌԚԜӀ": "ABESIJKMHOPCTYXYGQWl",
@@ -189,7 +191,8 @@ def pairs(df: DataFrame, key: str = "node_no", text: str = "text") -> DataFrame:
     spelling are never compared with each other and every row that is joined is a result.
     """
     rows = df.where(F.col(key).isNotNull() & (F.length(text) > 0)).select(F.col(key).alias("node_no"), text)
-    marked = rows.mapInArrow(_digests, "node_no long, form binary, raw binary").distinct()
+    # written once: its uses below prune different columns, and each would run the transducer again
+    marked = cut(rows.mapInArrow(_digests, "node_no long, form binary, raw binary").distinct())
     spelling = marked.groupBy("form", "raw").agg(F.lit(1).alias("one"))
     several = spelling.groupBy("form").agg(F.count("*").alias("n")).where("n > 1").select("form")
     some = spelling.join(several, "form", "left_semi")
