@@ -198,6 +198,29 @@ def paths(nodes: DataFrame, max_rounds: int = 40) -> DataFrame:
 
 def descendants(nodes: DataFrame) -> DataFrame:
     """``(ancestor, descendant, distance)``: every pair of a node and a node below it over all
-    parents, with the shortest distance. Read off the full paths, so its size is its output's."""
+    parents, with the shortest distance. Read off the full paths, so its size is its output's, and
+    links that touch a node on a cycle are left out; :func:`reachable` keeps them."""
     p = paths(nodes).select("id", "depth", F.posexplode("path").alias("pos", "ancestor"))
     return p.where("pos < depth").groupBy("ancestor", F.col("id").alias("descendant")).agg(F.min(F.col("depth") - F.col("pos")).cast("int").alias("distance"))
+
+
+def reachable(nodes: DataFrame) -> DataFrame:
+    """``(ancestor, descendant, distance)``: every pair of a node and a node that it reaches over one
+    or more links, through and from cycles too, with the shortest distance. A node on a cycle is its
+    own descendant. A pair further apart than the reach so far has a node exactly that far from
+    its ancestor on a shortest way, so the reach doubles each round and ends by itself.
+    """
+    vertex = cut(_dense(nodes))
+    cur = cut(links(nodes, vertex).select("s", "d", F.lit(1).alias("distance")))
+    reach = 1
+    while True:
+        far = cur.where(F.col("distance") == reach)
+        if far.isEmpty():
+            break
+        onward = cur.select(F.col("s").alias("m"), "d", F.col("distance").alias("more"))
+        grown = far.select("s", F.col("d").alias("m")).join(onward, "m").groupBy("s", "d").agg((F.min("more") + reach).cast("int").alias("distance"))
+        cur = cut(cur.union(grown.join(cur.select("s", "d"), ["s", "d"], "left_anti").select("s", "d", "distance")))
+        reach *= 2
+    name = vertex.select("v", "id")
+    named = cur.join(name.select(F.col("v").alias("s"), F.col("id").alias("ancestor")), "s").join(name.select(F.col("v").alias("d"), F.col("id").alias("descendant")), "d")
+    return named.select("ancestor", "descendant", "distance")

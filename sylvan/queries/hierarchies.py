@@ -38,3 +38,12 @@ def p1_paths(spark: SparkSession, d: str) -> DataFrame:
 )
 def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.descendants(table(spark, d, "summary_nodes"))
+
+
+@query(
+    "p1_reachable",
+    f"""{LINKS_SQL}, w(s, d, k) USING KEY (s, d) AS (SELECT s, d, 1 FROM l UNION SELECT w.s, l.d, min(w.k + 1) FROM w JOIN l ON l.s = w.d LEFT JOIN recurring.w o ON o.s = w.s AND o.d = l.d WHERE o.s IS NULL GROUP BY w.s, l.d)
+  SELECT r.s AS ancestor, r.d AS descendant, w.k::INTEGER AS distance FROM r JOIN w USING (s, d)""",
+)
+def p1_reachable(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.reachable(table(spark, d, "summary_nodes"))

@@ -98,3 +98,24 @@ def test_hubs_stay_out_of_the_local_step(spark, monkeypatch):
     links = [(0, k) for k in range(1, 8)] + [(7, 0), (5, 6)] + [(k, 20) for k in range(1, 7)] + [(20, 21)]
     e = spark.createDataFrame([(a, 0, b, 0) for a, b in links], "s long, sb long, d long, db long")
     assert {r.node for r in graph.nodes_on_cycles(e).collect()} == {0, 7}
+
+
+def steps(kids, start):
+    seen, front, k = {}, [start], 0
+    while front:
+        k += 1
+        front = sorted({b for a in front for b in kids[a] if b in kids and b not in seen})
+        seen |= dict.fromkeys(front, k)
+    return seen
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_descendants_through_and_from_cycles(spark, seed):
+    rng = random.Random(seed)
+    links = {(hexid(rng.randrange(40)), hexid(rng.randrange(40))) for _ in range(45)}
+    chain = [(hexid(100 + k), hexid(101 + k)) for k in range(21)]
+    ring = [(hexid(200 + k), hexid(200 + (k + 1) % 9)) for k in range(9)]
+    df, kids = nodes(spark, sorted(links) + chain + ring + [(hexid(300), hexid(300)), (hexid(121), hexid(205)), (hexid(203), hexid(400))])
+    got = {(r.ancestor, r.descendant): r.distance for r in hierarchy.reachable(df).collect()}
+    assert got == {(a, b): k for a in kids for b, k in steps(kids, a).items()}
+    assert got[hexid(100), hexid(400)] == 30 and got[hexid(200), hexid(200)] == 9
