@@ -64,6 +64,14 @@ def guard(c: Column, max_length: int = 500_000, max_word: int = 1000) -> Column:
     )
 
 
+def clean(c: Column, max_word: int = 1000) -> Column:
+    """The text without what :func:`guard` calls 'control' and 'long word': control characters that
+    are white space become a blank, the others go, and longer words are parted by blanks."""
+    c = F.regexp_replace(c, r"[\x0b\x0c\x1c-\x1f\x85]", " ")
+    c = F.regexp_replace(c, r"[\p{C}&&[^\n\t\r]]+", "")
+    return F.regexp_replace(c, rf"(?U)([^\s\x1c-\x1f]{{{max_word}}})(?=[^\s\x1c-\x1f])", "$1 ")
+
+
 def sanitize(c: Column) -> Column:
     """Replace prompt injections, whatever white space stands between their words."""
     for pattern in INJECTIONS:

@@ -26,13 +26,16 @@ class Run:
     trees: DataFrame
     embeddings: DataFrame
     rejected: DataFrame
+    #: ``doc_id, node_id, reason``: leaves that a summarizer sees cleaned, contexts that it does not see.
+    problems: DataFrame
 
 
 def summarizer(config: PipelineConfig, model: Callable[[Column], Column] | None = None) -> Callable[[Column], Column]:
-    """Context to summary: guarded, sanitized, then the model (the deterministic one without a model).
-    A context the guards reject gives an empty summary."""
+    """Context to summary: cleaned, guarded, sanitized, then the model (the deterministic one without a
+    model). A context that is empty, or still too long, gives an empty summary; :func:`problems` names the latter."""
 
     def run(context: Column) -> Column:
+        context = T.clean(context, config.max_word_length)
         bad = T.guard(context, config.max_input_length, config.max_word_length)
         text = T.mock_summary(context) if model is None else model(T.summary_prompt(T.sanitize(context)))
         return F.when(bad.isNotNull(), "").otherwise(text)
@@ -40,6 +43,18 @@ def summarizer(config: PipelineConfig, model: Callable[[Column], Column] | None
     return run
 
 
+def problems(leaves: DataFrame, nodes: DataFrame, edges: DataFrame, config: PipelineConfig) -> DataFrame:
+    """``doc_id, node_id, reason``: each leaf with characters or words that the guard rejects (its
+    context is cleaned of them), and each summary whose context is over the length limit."""
+    bad = sources.guarded(leaves, "text", config.max_input_length, config.max_word_length).where("problem in ('control', 'long word')")
+    size = nodes.select("doc_id", F.col("node_id").alias("child_id"), F.col("is_leaf").alias("child_is_leaf"), F.length(T.clean(F.col("text"), config.max_word_length)).alias("n"))
+    context = edges.join(size, ["doc_id", "child_id", "child_is_leaf"], "left").groupBy("doc_id", "parent_id").agg((F.sum(F.coalesce("n", F.lit(0))) + 2 * (F.count("*") - 1)).alias("n"))
+    long = context.where(F.col("n") > config.max_input_length).select("doc_id", F.col("parent_id").alias("node_id"), F.lit("too long").alias("reason"))
+    # the root of a document of one leaf has the leaf's text and no context
+    long = long.join(nodes.where("not is_leaf and text = ''").select("doc_id", "node_id"), ["doc_id", "node_id"], "left_semi")
+    return bad.select("doc_id", "node_id", F.col("problem").alias("reason")).union(long)
+
+
 def clusterer(config: PipelineConfig, embed: Callable[[Column], Column]) -> tree.Clusterer:
     """Embeds a level's texts and assigns them softly to the components of a mixture."""
 
@@ -66,7 +81,7 @@ def build(documents: DataFrame, config: PipelineConfig | None = None, embed: Cal
     leaves = chunks.select("doc_id", F.col("index").alias("ord"), F.col("index").cast("string").alias("node_id"), "text")
     nodes, edges, trees = tree.build(leaves, cluster or clusterer(config, embed), summarizer(config, model))
     vectors = cut(nodes.select("doc_id", "node_id", embed(F.col("text")).alias("embedding")))
-    return Run(chunks, nodes, edges, trees, vectors, bad)
+    return Run(chunks, nodes, edges, trees, vectors, bad, cut(problems(leaves, nodes, edges, config)))
 
 
 def verifications(run: Run, model: Callable[[Column], Column] | None = None, name: str = "gpt-4o") -> DataFrame:
@@ -80,11 +95,15 @@ def verifications(run: Run, model: Callable[[Column], Column] | None = None, nam
 
 
 def save(spark: SparkSession, run: Run, folder: str, model: Callable[[Column], Column] | None = None) -> None:
-    """The node store, verifications, Markdown outlines and canvases of a run."""
+    """The node store, verifications, Markdown outlines and canvases of a run, and its quarantined
+    documents (``rejected``) and texts (``problems``) where there are any."""
     store = NodeStore(spark, f"{folder}/store")
     for name, rows in (("nodes", run.nodes), ("edges", run.edges), ("trees", run.trees), ("embeddings", run.embeddings)):
         store.write(name, rows)
     verifications(run, model).write.mode("overwrite").json(f"{folder}/verification")
+    for name, rows in (("rejected", run.rejected), ("problems", run.problems)):
+        if not rows.isEmpty():
+            rows.write.mode("overwrite").json(f"{folder}/{name}")
     export_files(spark, store, folder)
 
 

@@ -10,6 +10,7 @@ from sylvan import cli
 from sylvan.config import PipelineConfig
 from sylvan.errors import SummarizationError
 from sylvan.functions import providers
+from sylvan.functions import text as T
 from sylvan.operators import clustering, store, tree
 from sylvan.plans import export, pipeline, verify
 from sylvan.sources import text as sources
@@ -154,6 +155,18 @@ def test_pipeline_quarantines(spark):
         sources.accepted(docs, fail_fast=True)
 
 
+def test_one_bad_character_or_word_does_not_blank_a_summary(spark):
+    docs = spark.createDataFrame([(1, "Good words.\nSo\u00adft and\u200b zero.\nMore words."), (2, "First words.\n" + "y" * 1500), (3, "Plain words.\nAnd plain."), (4, "z" * 300 + "\n" + "z" * 300)], "doc_id long, content string")
+    run = pipeline.build(docs, PipelineConfig(max_tokens=10, max_input_length=500_000), cluster=clustering.by_order(5))
+    text = {r.doc_id: r.text for r in run.nodes.where("not is_leaf").collect()}
+    assert text[1] == "Summary of Good words.\n\nSoft an..." and text[2].startswith("Summary of First words.") and text[3].startswith("Summary of Plain")
+    assert sorted((r.doc_id, r.node_id, r.reason) for r in run.problems.collect()) == [(1, "1", "control"), (2, "1", "long word")]
+    run = pipeline.build(docs.where("doc_id = 4"), PipelineConfig(max_tokens=10, max_input_length=601), cluster=clustering.by_order(5))
+    assert [(r.doc_id, r.reason) for r in run.problems.collect()] == [(4, "too long")]
+    seen = spark.createDataFrame([("a\x1cb\ufeffc " + "w" * 2001,)], "t string").select(T.clean(F.col("t")).alias("t")).first().t
+    assert seen == "a bc " + "w" * 1000 + " " + "w" * 1000 + " w"
+
+
 def test_stream(spark, tmp_path):
     spark.createDataFrame([(1, "文１。文２。"), (2, "ab\ncd")], documents.SCHEMA).write.parquet(str(tmp_path / "in"))
     q = documents.write_chunks(documents.read(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "state"), 3)
