@@ -195,16 +195,28 @@ def _tarjan(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"node": names[hit], "cycle": least[comp_a][hit]})
 
 
-def _colour(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def _trim(e: DataFrame) -> DataFrame:
+    """``(s, d)`` without links of nodes that nothing leads to or that lead nowhere, one layer."""
+    e = e.join(e.select(F.col("s").alias("d")).distinct(), "d", "left_semi").select("s", "d")
+    return cut(e.join(e.select(F.col("d").alias("s")).distinct(), "s", "left_semi").select("s", "d"))
+
+
+def _colour(edges: DataFrame) -> DataFrame:
     """Strongly connected components of more than one node, fully distributed: spread the largest
-    id forward, take for each colour what its source can reach backward inside the colour, repeat on the rest."""
+    priority forward, take for each colour what its source can reach backward inside the colour,
+    repeat on the rest until no links are left. A node's priority is a hash that changes each round, so
+    that a row of components falls apart in many places at once; links between colours lie on no
+    cycle and go, as does one layer of sources and sinks. Each round takes at least one node away."""
     found = None
     e = cut(edges.select("s", "d").where("s <> d").distinct())
-    for _ in range(max_rounds):
+    seed = 0
+    while True:
+        e = _trim(e)
         if e.isEmpty():
             break
+        seed += 1
         nodes = e.select(F.col("s").alias("v")).union(e.select(F.col("d").alias("v"))).distinct()
-        colour = cut(nodes.select("v", F.col("v").alias("c")))
+        colour = cut(nodes.select("v", F.struct(F.xxhash64(F.lit(seed), "v").alias("h"), F.col("v").alias("v")).alias("c")))
         while True:
             push = e.join(colour, e["s"] == colour["v"]).groupBy(F.col("d").alias("v")).agg(F.max("c").alias("p"))
             nxt = cut(colour.join(push, "v", "left").select("v", F.greatest("c", F.coalesce("p", "c")).alias("c"), (F.coalesce("p", "c") > F.col("c")).alias("moved")))
@@ -212,8 +224,8 @@ def _colour(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
             if nxt.where("moved").isEmpty():
                 break
         cs, cd = colour.select(F.col("v").alias("s"), F.col("c").alias("cs")), colour.select(F.col("v").alias("d"), F.col("c").alias("cd"))
-        inner = cut(e.join(cs, "s").join(cd, "d").where("cs = cd").select("s", "d", F.col("cs").alias("c")))
-        back = cut(colour.where("v = c").select("v", "c"))
+        inner = cut(e.join(cs, "s").join(cd, "d").where("cs = cd").select("s", "d", F.col("cs.v").alias("c")))
+        back = cut(colour.where("v = c.v").select("v", F.col("c.v").alias("c")))
         front = back
         while True:
             step = inner.join(front.select(F.col("v").alias("d")), "d").select(F.col("s").alias("v"), "c").distinct().join(back.select("v"), "v", "left_anti")
@@ -224,7 +236,7 @@ def _colour(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
         got = back.join(back.groupBy("c").agg(F.count("*").alias("n")).where("n > 1"), "c").select(F.col("v").alias("node"), F.col("c").alias("cycle"))
         found = got if found is None else found.union(got)
         gone = back.select("v")
-        e = cut(e.join(gone.withColumnRenamed("v", "s"), "s", "left_anti").join(gone.withColumnRenamed("v", "d"), "d", "left_anti"))
+        e = inner.select("s", "d").join(gone.withColumnRenamed("v", "s"), "s", "left_anti").join(gone.withColumnRenamed("v", "d"), "d", "left_anti").select("s", "d")
     loops = edges.where("s = d").select(F.col("s").alias("node"), F.col("s").alias("cycle"))
     return loops if found is None else found.union(loops.join(found.select("node"), "node", "left_anti"))
 

@@ -119,3 +119,14 @@ def test_descendants_through_and_from_cycles(spark, seed):
     got = {(r.ancestor, r.descendant): r.distance for r in hierarchy.reachable(df).collect()}
     assert got == {(a, b): k for a in kids for b, k in steps(kids, a).items()}
     assert got[hexid(100), hexid(400)] == 30 and got[hexid(200), hexid(200)] == 9
+
+
+def test_colouring_takes_a_row_of_cycles_in_few_rounds(spark, monkeypatch):
+    trims, trim = [], graph._trim
+    monkeypatch.setattr(graph, "_trim", lambda e: trims.append(1) or trim(e))
+    # two-node cycles in a row, ids falling along the links: by ids one cycle would go each round
+    links = [x for k in range(12) for x in ((3 * k, 3 * k + 1), (3 * k + 1, 3 * k))] + [(3 * k, 3 * k - 2) for k in range(1, 12)]
+    e = spark.createDataFrame([(a, 0, b, 0) for a, b in links], "s long, sb long, d long, db long")
+    got = {(r.node, r.cycle) for r in graph._colour(e).collect()}
+    assert {n for n, _ in got} == {3 * k + i for k in range(12) for i in (0, 1)} and len({c for _, c in got}) == 12
+    assert len(trims) <= 8
