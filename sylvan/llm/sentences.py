@@ -4,7 +4,7 @@ The rules follow the Unicode sentence-break properties: a run of terminators of
 closing marks after it, then what follows decides. On top of them stand abbreviation suppression
 for each language, decimals, ordinals, initials, and the handling of quotations: one with words
 of its sentence around it stays inside that sentence. The language is read from the text itself
-(scripts of the letters around each place), since declared languages are often missing or wrong.
+(see :mod:`sylvan.llm.abbreviations`), since declared languages are often missing or wrong.
 
 Rules look at a folded copy (invisible characters dropped, width forms and look-alike letters
 brought together); positions are those of the text as given.
@@ -18,39 +18,34 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sylvan.llm import lookalike
+from sylvan.llm.abbreviations import Language, Speech
 
-#: Abbreviations after which a sentence does not end, by language.
-NEVER = {
-    "en": "dr mr mrs ms prof st gen col sgt capt lt rev hon gov sen rep messrs mt ft no nos fig figs sec ch vol pp p eq ed eds vs cf e.g i.e viz approx est al ca c dept ave blvd art op para",
-    "de": "nr abb s bd z.b d.h u.a o.ä v.a s.o s.u z.t i.d.r evtl ggf inkl exkl ca bzw vgl hr fr frau dipl ing geb tab kap art abs str sog z d u",
-    "fr": "m mme mmes mlle mlles mgr me n env fig p pp art ex chap vol réf p.ex c.-à-d av bd cf éd",
-    "es": "sr sra srta sres dra d dña ee pág págs p p.ej ej aprox núm art cap fig av vol dpto ud uds lic ing véase tel",
-    "ru": "им рис табл ок стр гл ст см т т.е т.д т.п т.н напр акад проф доц ул пл просп тел е св гр тов",
-    "el": "κ κα κ.κ π.χ σελ αρ αριθ βλ εικ πίν κεφ δηλ δρ καθ λεωφ οδ τ.μ χλμ πρβλ ο.π",
-    "ar": "د أ م ص ج ت ه",
-    "hi": "डॉ श्री प्रो सं पृ",
-    "th": "ดร พ.ศ ค.ศ มม ซม กม นาย อ จ ต ถ",
-    "ja": "dr no mr mrs prof vol fig",
-}
-#: Abbreviations that may stand at a sentence's end; then a capital must follow.
-MAYBE = "inc ltd co corp llc plc jr sr etc a.m p.m am pm u.s u.k u.n e.u usw usf etc h kg km cm mm min std uu г гг в вв руб коп млн млрд тыс чел χιλ δρχ ευρ ημ"
-#: German month names, after a day's ordinal number.
-MONTHS = "januar februar märz april mai juni juli august september oktober november dezember jan feb mrz apr jun jul aug sep sept okt nov dez"
+def _having(prop: str) -> str:
+    """All characters with a Unicode property; none of those used here lies beyond plane 1."""
+    return "".join(regex.findall(prop, "".join(map(chr, [*range(0xD800), *range(0xE000, 0x20000)]))))
 
-_TERM = re.compile(r"[.!?…‥。！？｡।॥።፧፨؟۔։՞՜؞᙮᠃᠉‼‽⁇⁈⁉⸮꓿꘎꘏꛳꛷꡶꡷꯫;]+")
+
+#: Sentence terminators of all scripts by their properties; ellipses end as well where their sentence does, the semicolon in Greek.
+_TERM = re.compile("[" + re.escape(_having(r"[\p{Sentence_Break=STerm}\p{Sentence_Break=ATerm}\p{Sentence_Terminal}]")) + "…‥;]+")
 _WIDE = set("。！？｡")
-_CLOSE = re.compile(r"(?:[ ]?[»›](?!\w)|[»›]|[”’\"')\]」』）】》〉｣}]|“(?!\w))*")
+_CLOSE = re.compile("(?:[ ]?[»›](?!\\w)|[»›]|[”’\"'" + re.escape(_having(r"\p{Pe}")) + "]|“(?!\\w))*")
 _PARAGRAPH = re.compile(r"\n[^\S\n]*\n\s*|\u2029")
 _TOKEN = re.compile(r"[^\s“”„«»‚‘()（）「」『』\[\]—–!?…,;:。！？、，\u3040-\u30ff\u3400-\u9fff]*$")
 _DASH = re.compile(r"[—–―-]\s*(.?)")
 _LONG = re.compile(r"[0-9A-Za-z+/=_-]{40}")
 _SPACE = re.compile(r"\s+")
-_THAI = re.compile("[฀-๿຀-໿ក-៿က-႟]")
+_THAI = re.compile("[฀-๿຀-໿]")
+#: What makes the next word the number of a figure, page or law.
+_NUMBER = re.compile(r"[#№(\[]?(?:\d|[IVXLCDM]+\b|[A-Z]\b)")
+_WORD = re.compile(r"\w+")
 _PARTICLES = set("とっなのはがをにでもやへてだよねかさわ")
+#: Verbs of saying that follow a quotation of their own sentence, by their first character.
+_SAYING = set("言話語述答問聞呼叫曰說说道喊问")
 _QUOTES = set("”’\"'»›」』｣“")
 _OPEN = set("“„«‹「『（([{¿¡‚‘〈《【｢\"'")
 _BRACKETS = set(")）]】》〉}")
@@ -65,7 +60,7 @@ def _script(c: str) -> str:
         return "kana"
     if 0x2E80 <= n <= 0x2FDF or 0x3400 <= n <= 0x9FFF or 0xF900 <= n <= 0xFAFF or 0x20000 <= n <= 0x3FFFF or n in (0x3005, 0x3007):
         return "han"
-    if 0xE00 <= n <= 0xEFF or 0x1000 <= n <= 0x109F or 0x1780 <= n <= 0x17FF:
+    if 0xE00 <= n <= 0xEFF:
         return "thai"
     if 0x590 <= n <= 0x8FF or 0xFB1D <= n <= 0xFDFF or 0xFE70 <= n <= 0xFEFE:
         return "arabic"
@@ -88,16 +83,6 @@ def _folding() -> tuple[dict[int, str], re.Pattern]:
     return one, re.compile("[" + lookalike._ranges([c for c, to in t.items() if not to] + ["\u200d"]) + "]")
 
 
-@lru_cache(maxsize=1)
-def _abbreviations() -> tuple[frozenset[str], frozenset[str], frozenset[str]]:
-    one, _ = _folding()
-
-    def fold(x: str) -> str:
-        return x.translate(one).lower()
-
-    return frozenset(fold(x) for v in NEVER.values() for x in v.split()), frozenset(fold(x) for x in MAYBE.split()), frozenset(fold(x) for x in MONTHS.split())
-
-
 def folded(text: str) -> tuple[str, str, list[int] | None]:
     """The folded copy, the given characters beside it, and their positions (None: the same)."""
     if text.isascii():
@@ -112,9 +97,8 @@ def folded(text: str) -> tuple[str, str, list[int] | None]:
     return o.replace("\r\n", " \n").replace("\r", "\n").translate(one), o, pos
 
 
-def _ends(f: str, o: str, a: int, b: int, m: re.Match) -> int:
+def _ends(f: str, o: str, a: int, b: int, m: re.Match, speech: Speech) -> int:
     """Where the sentence ends if one ends at the terminators ``m`` of the paragraph ``[a, b)``, else -1."""
-    never, maybe, months = _abbreviations()
     s, e = m.span()
     term = f[s:e]
     close = _CLOSE.match(f, e, b)
@@ -162,7 +146,7 @@ def _ends(f: str, o: str, a: int, b: int, m: re.Match) -> int:
                 if kind == "kana":
                     return -1 if c in _PARTICLES or closers[-1] not in "」』" else end
                 if kind == "han":
-                    return -1 if closers[-1] not in "」』" or c in "言叫" else end
+                    return -1 if closers[-1] not in "」』" or c in _SAYING else end
         if quoted and spaced and c in "とっ" and f[k : k + 2] in ("とい", "と言", "って", "とは"):
             return -1
         return end
@@ -179,7 +163,13 @@ def _ends(f: str, o: str, a: int, b: int, m: re.Match) -> int:
             token = _TOKEN.search(f, max(a, s - 40), s)[0].lstrip("'\"’([¿¡-*").lower()
             raw = _TOKEN.search(f, max(a, s - 40), s)[0]
             pk = _script(prev)
-            if pk in ("thai",) or token in never:
+            said = speech.of(a, b, s - len(token), s)
+            maybe, months = said.maybe, said.months
+            if pk == "thai":
+                return -1
+            if (token in said.never or token in said.numbered) and not _goes_on(f, k, b, token, said, spaced):
+                return end
+            if token in said.never or token in said.numbered:
                 return -1
             if pk == "indic" and not spaced:
                 return -1
@@ -232,12 +222,24 @@ def _ends(f: str, o: str, a: int, b: int, m: re.Match) -> int:
     return end
 
 
-def _cuts(f: str, o: str, a: int, b: int) -> list[int]:
+def _goes_on(f: str, k: int, b: int, token: str, said: Language, spaced: bool) -> bool:
+    """Whether the sentence goes on at ``k`` after an abbreviation. One that stands before numbers
+    does so before one or before a small letter; one that is also a word does not before a capital
+    that begins a function word, and if it stands before numbers, before no other capital either."""
+    word = _WORD.match(f, k, b)
+    if not spaced or not word or not word[0][0].isupper():
+        return True
+    if token in said.numbered:
+        return _NUMBER.match(f, k, b) is not None or token not in said.words and word[0].lower() not in said.starters
+    return token not in said.words or word[0].lower() not in said.starters
+
+
+def _cuts(f: str, o: str, a: int, b: int, speech: Speech) -> list[int]:
     """Ends of the sentences of one paragraph, the last one ``b``."""
     cuts = []
     at = a
     while m := _TERM.search(f, at, b):
-        end = _ends(f, o, a, b, m)
+        end = _ends(f, o, a, b, m, speech)
         at = m.end()
         if end >= 0:
             at = max(at, end)
@@ -257,13 +259,14 @@ def _cuts(f: str, o: str, a: int, b: int) -> list[int]:
 def sentences(text: str) -> list[tuple[int, int]]:
     """``(start, end)`` of each sentence in order, without white space or byte-order marks around it."""
     f, o, pos = folded(text)
+    speech = Speech(f)
     out = []
     blanks = [(m.start(), m.end()) for m in _PARAGRAPH.finditer(f)]
     a = 0
     for s, e in [*blanks, (len(f), len(f))]:
         if s > a:
             begin = a
-            for cut in _cuts(f, o, a, s):
+            for cut in _cuts(f, o, a, s, speech):
                 x, y = begin, cut
                 begin = cut
                 if pos is not None:

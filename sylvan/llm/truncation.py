@@ -1,14 +1,17 @@
 """Text cut off by field limits (problem 4).
 
-Every text's length is recomputed as code points, UTF-8 bytes, UTF-16 units, JSON escaped, entity
-escaped and with line ends as CR LF. Lengths at which unfinished texts of a source pile up expose
-its hidden limits. Then endings are inspected: an unfinished one is a cut; where the ending alone
-leaves it open (an ellipsis, an abbreviation's stop, a closed quotation), a text is cut if it
-ends exactly at a limit of its source.
+Every text's length, finished or not, is recomputed as code points, UTF-8 bytes, UTF-16 units, JSON
+escaped, entity escaped and with line ends as CR LF. Lengths at which the texts of a source, or its
+unfinished ones, pile up expose its hidden limits. Then endings are inspected: an unfinished one is
+a cut; where the ending alone leaves it open (an ellipsis, an abbreviation's stop, a closed
+quotation, the end of a possible title), a text is cut if it ends exactly at a limit of its source.
+A possible title is cut as well if its last word stands in no other text, so is part of one, while
+its other words do; an ending in a script without full stops, if it ends no sentence elsewhere.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -16,16 +19,23 @@ import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sylvan.llm.sentences import _abbreviations, folded
+from sylvan.llm.abbreviations import Language, Speech
+from sylvan.llm.sentences import folded
+from sylvan.session import cut as write
 
 MEASURES = ("chars", "utf8", "utf16", "json", "entities", "crlf")
-#: A limit: at least this many unfinished texts of one length, this many times as many as at near lengths.
+#: A limit: at least this many unfinished texts of one length, this many times as many as at near lengths; or so
+#: many texts of any ending as chance would not bring (this many deviations of a Poisson count over the usual).
 LEAST, TIMES, NEAR = 3, 4, 8
-#: Length of the endings that are compared where a script has no full stop, and how often one must end a sentence.
-TAIL, TAIL_COUNT = 6, 3
+SURE = 7
+#: Length of the endings that are compared where a script has no full stop; an ending of a sentence is one that ends at
+#: least this many and this share of all sentences in that script.
+TAIL, TAIL_LEAST, TAIL_SHARE = 6, 2, 2e-5
+#: Most words of a title.
+TITLE = 10
 
 #: What is put in place of the rest, in brackets or words.
 _REST = re.compile(
@@ -63,6 +73,25 @@ def measures(text: str) -> list[int]:
     ]
 
 
+_WORD = re.compile(r"[^\W\d_]+(?:[-’'][^\W\d_]+)*")
+_CASED = re.compile(r"[^\W\d_]")
+
+
+def _title(text: str, said: Language) -> list[str]:
+    """The words of a line that may be a title, in small letters, else none: few words in a script
+    with capitals, the first with one, no comma, no clause, no function word or beginning of one at the end."""
+    words = [w.lower() for w in _WORD.findall(text)]
+    if not 0 < len(words) <= TITLE or any(c in text for c in "\n,;!?…") or re.search(r"[.:]\s|[^\w)]$", text):
+        return []
+    first = _CASED.search(text)[0]
+    if first.lower() == first or first.upper() == first.lower():
+        return []
+    last = words[-1]
+    if last in said.starters or len(last) < 2 or said.clause.intersection(words):
+        return []
+    return [] if any(w.startswith(last) for w in said.starters | said.clause) else words
+
+
 def _is_list(text: str) -> bool:
     """Names only, set apart by commas or line breaks."""
     items = [x for x in _SEPARATOR.split(text.strip()) if x]
@@ -103,7 +132,8 @@ def ending(text: str) -> tuple[str, str, str]:
 
     'done': finished; 'open': unfinished; 'marked': something stands in place of the rest; 'dots':
     ends in an ellipsis; 'maybe': finished unless it is at a limit; 'tail': its script has no full
-    stop, so its ``tail`` must be known to end sentences. ``rest`` is the text whose length counts
+    stop, so its ``tail`` must be known to end sentences; 'title': may be a title, whose words are
+    the ``tail``. ``rest`` is the text whose length counts
     against a limit.
     """
     body = text.rstrip()
@@ -132,15 +162,16 @@ def ending(text: str) -> tuple[str, str, str]:
         if _unclosed(g):
             return "open", body, ""
         if last == "." and not closed:
-            never, maybe, _ = _abbreviations()
             raw = re.search(r"[^\s“”„«»‚‘(（「」『』)）!?…,;:]*$", core[:-1])[0]
             token = raw.lower()
             if _NOT_DOT.search(core[-6:-1]) or (core[-2:-1].isdigit() and _NOT_DOT.search(core[-16:-1])):
                 if not re.search(r"\s[A-Za-z]+\.$", core):
                     return "open", body, ""
-            if token in never or (len(raw) == 1 and raw.isalpha()) or re.fullmatch(r"v\d+(\.\d+)*", token):
-                return "open" if not (heading or token in maybe) else "maybe", body, ""
-            if token in maybe or (token.isdigit() and len(token) <= 3):
+            said = _speaker(core, len(core) - 1 - len(raw))
+            short = token in said.never or token in said.numbered
+            if short or (len(raw) == 1 and raw.isalpha()) or re.fullmatch(r"v\d+(\.\d+)*", token):
+                return "open" if not (heading or token in said.maybe or short and token in said.words) else "maybe", body, ""
+            if token in said.maybe or (token.isdigit() and len(token) <= 3):
                 return "maybe", body, ""
             return "done", body, ""
         if closed and not noted and _last_sentence_quoted(g):
@@ -160,55 +191,121 @@ def ending(text: str) -> tuple[str, str, str]:
         return "tail", body, g[-TAIL:]
     if heading and re.match(r"^\s*บทที่", g) and g[-1].isdigit():
         return "done", body, ""
+    if len(g) < 200 and not noted and (words := _title(g.strip(), _speaker(g, len(g)))):
+        return "title", body, " ".join(words)
     return "open", body, ""
 
 
+def _speaker(text: str, at: int) -> Language:
+    """The language of a folded text's last paragraph, for the token that begins at ``at``."""
+    a = text.rfind("\n\n") + 2 if "\n\n" in text else 0
+    return Speech(text).of(a, len(text), at, len(text))
+
+
 def _tails(text: str) -> list[str]:
     """Ends of the inner sentences of a text in a script that sets them apart by spaces only."""
     f = folded(text)[0]
     return [m[1][-TAIL:] for m in re.finditer(r"(\S+)\s+(?=\S)", f) if _THAI.match(m[1][-1]) and len(m[1]) > TAIL]
 
 
+_MARKED = "id string, source string, text_hash long, state string, tail string, lengths array<int>, known array<string>, words array<struct<word: string, low: long, high: long>>"
+_WORDS = pa.list_(pa.struct([("word", pa.string()), ("low", pa.int64()), ("high", pa.int64())]))
+
+
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each text, and for each batch one with a null id that holds its words, each with the
+    least and greatest hash of the texts it stands in, a text's last word left out."""
     for b in batches:
-        states, tails, lengths, known = [], [], [], []
+        states, tails, lengths, known, hashes = [], [], [], [], []
+        words: dict[str, tuple[int, int]] = {}
         for t in b.column(2).to_pylist():
+            h = int.from_bytes(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
             state, rest, tail = ending(t)
+            hashes.append(h)
             states.append(state)
             tails.append(tail)
-            lengths.append(None if state in ("done", "tail") else measures(rest))
+            lengths.append(measures(rest))
             known.append(_tails(t) if _THAI.search(t) else [])
-        yield pa.record_batch(
-            [b.column(0), b.column(1), pa.array(states), pa.array(tails), pa.array(lengths, pa.list_(pa.int32())), pa.array(known, pa.list_(pa.string()))],
-            names=["id", "source", "state", "tail", "lengths", "known"],
-        )
+            inner = {m.lower() for m in _WORD.findall(folded(t)[0])[:-1]}
+            if state == "title":
+                inner |= set(tail.split(" ")[:-1])
+            for w in inner:
+                low, high = words.get(w, (h, h))
+                words[w] = (min(low, h), max(high, h))
+        n = len(states)
+        told = [None] * n + [[{"word": w, "low": a, "high": z} for w, (a, z) in words.items()]]
+        cols = [pa.concat_arrays([b.column(k), pa.nulls(1, pa.string())]) for k in (0, 1)]
+        more = [pa.array([*x, None], kind) for x, kind in ((hashes, pa.int64()), (states, pa.string()), (tails, pa.string()), (lengths, pa.list_(pa.int32())), (known, pa.list_(pa.string())))]
+        yield pa.record_batch([*cols, *more, pa.array(told, _WORDS)], names=["id", "source", "text_hash", "state", "tail", "lengths", "known", "words"])
+
+
+def _marked(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each distinct id, source and text with its ending and lengths, numbered by ``k``; and the
+    words. Texts are read once and not shuffled; rows delivered twice drop out by their hashes."""
+    rows = nodes.where(F.col("id").isNotNull() & (F.length("text") > 0)).select("id", F.coalesce("source", F.lit("")).alias("source"), "text")
+    raw = write(rows.mapInArrow(_judge, _MARKED))
+    each = raw.where("id is not null").drop("words").dropDuplicates(["id", "source", "text_hash"])
+    return each.withColumn("k", F.xxhash64("id", "source", "text_hash")), raw.where("words is not null").select(F.explode("words").alias("w")).select("w.*")
+
+
+def _titles(marked: DataFrame, words: DataFrame) -> DataFrame:
+    """``(k, part)`` of each possible title; ``part``: its last word stands in no other text, though
+    at least two of its others do, more than not."""
+    own = marked.where("state = 'title'").select("k", "text_hash", F.posexplode(F.reverse(F.split("tail", " "))).alias("at", "word"))
+    seen = words.groupBy("word").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    other = own.join(seen, "word", "left").select("k", "at", F.coalesce((F.col("low") != F.col("text_hash")) | (F.col("high") != F.col("text_hash")), F.lit(False)).alias("other"))
+    n = other.groupBy("k").agg(
+        F.max(F.when(F.col("at") == 0, F.col("other"))).alias("last"), F.sum(F.when(F.col("at") > 0, F.col("other").cast("int")).otherwise(0)).alias("n"), F.count("*").alias("all")
+    )
+    return n.select("k", (~F.col("last") & (F.col("n") >= 2) & (F.col("n") * 2 >= F.col("all") - 1)).alias("part"))
+
+
+def _lengths(marked: DataFrame) -> DataFrame:
+    return marked.select("k", "source", "state", F.posexplode("lengths").alias("measure", "length"))
 
 
 def judged(nodes: DataFrame) -> DataFrame:
     """``(id, source, cut, at)`` for each distinct id, source and text that is not null or empty:
     whether the text is cut off, and the measure of the source's limit it ends at (null if none)."""
-    rows = nodes.where(F.col("id").isNotNull() & (F.length("text") > 0)).select("id", F.coalesce("source", F.lit("")).alias("source"), "text").distinct()
-    from sylvan.session import cut as write
-
-    marked = write(rows.mapInArrow(_judge, "id string, source string, state string, tail string, lengths array<int>, known array<string>").withColumn("k", F.monotonically_increasing_id()))
-    long = marked.where("lengths is not null").select("k", "source", "state", F.posexplode("lengths").alias("measure", "length"))
-    found = limits_of(long.where("state in ('open', 'marked', 'dots')"))
-    at = long.join(found, ["source", "measure", "length"], "left_semi").groupBy("k").agg(F.min("measure").alias("measure"))
-    ends = marked.select(F.explode("known").alias("tail")).groupBy("tail").agg(F.count("*").alias("n")).where(F.col("n") >= TAIL_COUNT).select("tail", F.lit(True).alias("ends"))
-    all_ = marked.select("k", "id", "source", "state", "tail").join(at, "k", "left").join(ends, "tail", "left")
+    marked, words = _marked(nodes)
+    marked = write(marked)
+    long = _lengths(marked)
+    at = long.join(limits_of(long).select("source", "measure", "length"), ["source", "measure", "length"], "left_semi").groupBy("k").agg(F.min("measure").alias("measure"))
+    ends = marked.select(F.explode("known").alias("tail")).groupBy("tail").agg(F.count("*").alias("n"))
+    total = ends.agg(F.sum("n")).first()[0] or 0
+    ends = ends.where(F.col("n") >= max(TAIL_LEAST, TAIL_SHARE * total)).select("tail", F.lit(True).alias("ends"))
+    all_ = marked.select("k", "id", "source", "state", "tail").join(at, "k", "left").join(ends, "tail", "left").join(_titles(marked, words), "k", "left")
+    # where most such texts end as sentences elsewhere do, the others are cut; a sparse table does not tell
+    tails = all_.where("state = 'tail'").agg(F.count("ends").alias("known"), F.count("*").alias("n")).first()
+    told = F.lit(tails["known"] * 2 >= tails["n"])
     names = F.element_at(F.array(*map(F.lit, MEASURES)), F.col("measure") + 1)
-    is_cut = F.col("state").isin("open", "marked") | (F.col("state").isin("dots", "maybe") & F.col("measure").isNotNull()) | ((F.col("state") == "tail") & F.col("ends").isNull())
-    return all_.select("id", "source", is_cut.alias("cut"), F.when(F.col("measure").isNotNull(), names).alias("at"))
+    at_limit = F.col("measure").isNotNull()
+    is_cut = (
+        F.when(F.col("state").isin("open", "marked"), True)
+        .when(F.col("state").isin("dots", "maybe"), at_limit)
+        .when(F.col("state") == "tail", F.col("ends").isNull() & (told | at_limit))
+        .when(F.col("state") == "title", at_limit | F.coalesce("part", F.lit(False)))
+        .otherwise(False)
+    )
+    return all_.select("id", "source", is_cut.alias("cut"), F.when(at_limit, names).alias("at"))
+
+
+def limits_of(lengths: DataFrame) -> DataFrame:
+    """``(source, measure, length, texts, unfinished)`` at which texts pile up, all of them or the
+    unfinished, against the average within :data:`NEAR` lengths on either side."""
+    open_ = F.col("state").isin("open", "marked", "dots").cast("long")
+    count = lengths.groupBy("source", "measure", "length").agg(F.count("*").alias("texts"), F.sum(open_).alias("unfinished"))
+    shift = F.explode(F.array(*[F.lit(x) for x in range(-NEAR, NEAR + 1) if x])).alias("shift")
+    near = count.select("*", shift).select("source", "measure", (F.col("length") + F.col("shift")).alias("length"), "texts", "unfinished")
+    near = near.groupBy("source", "measure", "length").agg(F.sum("texts").alias("t"), F.sum("unfinished").alias("u"))
+    both = count.join(near, ["source", "measure", "length"], "left").na.fill(0, ["t", "u"])
 
+    def usual(around: str) -> Column:
+        return 0.25 + F.col(around) / (2 * NEAR)
 
-def limits_of(unfinished: DataFrame) -> DataFrame:
-    """``(source, measure, length)`` at which unfinished texts pile up: at least :data:`LEAST`, and
-    :data:`TIMES` times as many as on average within :data:`NEAR` lengths on either side."""
-    count = unfinished.groupBy("source", "measure", "length").agg(F.count("*").alias("n"))
-    shift = F.explode(F.array(*[F.lit(x) for x in range(-NEAR, NEAR + 1) if x])).alias("shift")
-    near = count.select("*", shift).select("source", "measure", (F.col("length") + F.col("shift")).alias("length"), "n").groupBy("source", "measure", "length").agg(F.sum("n").alias("around"))
-    both = count.join(near, ["source", "measure", "length"], "left")
-    return both.where((F.col("n") >= LEAST) & (F.col("n") >= TIMES * (0.25 + F.coalesce("around", F.lit(0)) / (2 * NEAR)))).select("source", "measure", "length", F.col("n").alias("texts"))
+    piled = (F.col("unfinished") >= LEAST) & (F.col("unfinished") >= TIMES * usual("u"))
+    all_piled = F.col("texts") >= usual("t") + SURE * F.sqrt(usual("t")) + SURE
+    return both.where(piled | all_piled).select("source", "measure", "length", "texts", "unfinished")
 
 
 def found(nodes: DataFrame) -> DataFrame:
@@ -225,8 +322,6 @@ def rates(nodes: DataFrame) -> DataFrame:
 
 
 def limits(nodes: DataFrame) -> DataFrame:
-    """``source, measure, length, texts``: the hidden limits of each source."""
-    rows = nodes.where(F.col("id").isNotNull() & (F.length("text") > 0)).select("id", F.coalesce("source", F.lit("")).alias("source"), "text").distinct()
-    marked = rows.mapInArrow(_judge, "id string, source string, state string, tail string, lengths array<int>, known array<string>")
-    long = marked.where("state in ('open', 'marked', 'dots')").select("source", F.posexplode("lengths").alias("measure", "length"))
-    return limits_of(long).withColumn("measure", F.element_at(F.array(*map(F.lit, MEASURES)), F.col("measure") + 1))
+    """``source, measure, length, texts, unfinished``: the hidden limits of each source."""
+    found_ = limits_of(_lengths(_marked(nodes)[0]))
+    return found_.withColumn("measure", F.element_at(F.array(*map(F.lit, MEASURES)), F.col("measure") + 1))

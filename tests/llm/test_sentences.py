@@ -41,3 +41,31 @@ def test_nulls_and_blanks(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, " \n ", "x"), (4, "One. Two", "x"), (None, "Gone.", "x"), (5, "a" * 300_000, "x")], "doc_id long, content string, pos string")
     got = sorted((r.doc_id, r.pos, r.start_idx, r.end_idx) for r in S.split(df, "doc_id", "content").collect())
     assert got == [(4, 0, 0, 4), (4, 1, 5, 8), (5, 0, 0, 300_000)]
+
+
+@pytest.mark.parametrize(
+    "want",
+    [
+        ["He said no.", "Then he left."],
+        ["She told me.", "We agreed."],
+        ["He likes art.", "She prefers music."],
+        ["Pass me the fig.", "Then eat it."],
+        ["We went to the dept.", "Nobody came."],
+        ["The cap.", "It fell."],
+        ["El respondió que no.", "Luego salió."],
+        ["See Fig. A.3 and no. 7.", "He left."],
+        ["Vgl. Abb. 3 und S. 12.", "Das ist Nr. 5.", "Der Arzt kam."],
+        ["Il voit Mme. Noir, art. 5.", "Dites-le-moi."],
+        ["Es ist die Kunst, engl. art.", "Sie bleibt."],
+    ],
+)
+def test_words_that_are_abbreviations_elsewhere(want):
+    text = " ".join(want)
+    assert [text[s:e] for s, e in S.sentences(text)] == want
+
+
+@pytest.mark.parametrize("want", [["ကျွန်တော်သွားသည်။", "သူလာသည်။"], ["ខ្ញុំទៅ។", "គាត់មក។"], ["ߒ ߦߋ߫߹", "ߊ߬ ߓߘߊ߫ ߣߊ߬߹"], ["ꦄꦏꦸ꧉", "ꦏꦺꦴꦮꦺ꧉"]])
+@pytest.mark.parametrize("between", ["", " "])
+def test_terminators_by_property(want, between):
+    text = between.join(want)
+    assert [text[s:e] for s, e in S.sentences(text)] == want

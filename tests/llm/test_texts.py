@@ -220,3 +220,23 @@ def test_very_long_texts(spark):
     assert lookalike.canonical("é" * 500_000) == "é" * 500_000
     assert len(pieces.split(long, 9000, 400)) == 1 + -(-(len(long.strip()) - 9000) // 8600) or len(pieces.split(long, 9000, 400)) > 200
     assert truncation.ending(long)[0] == "open"
+
+
+def test_ordinary_endings_and_titles_are_not_cuts(spark):
+    whole = ["He came home and said no.", "The winner is me.", "She studied art.", "A short heading", "Total cost overview for the second quarter", "Bericht über die Pumpe"]
+    cut_ = ["The valve near the", "It was sent to Dr.", "Although the pump fai", "Siehe Abb.", "Wait for the next re[...]"]
+    df = spark.createDataFrame([(f"w{k}", "s", t) for k, t in enumerate(whole)] + [(f"x{k}", "s", t) for k, t in enumerate(cut_)], "id string, source string, text string")
+    assert sorted(r.node_id for r in truncation.found(df).collect()) == [f"x{k}" for k in range(len(cut_))]
+
+
+def test_a_title_cut_inside_its_last_word(spark):
+    rows = [("a", "The report on the old pump was late."), ("b", "A report about the pump and the valve came."), ("c", "Report on the old pum"), ("d", "Report on the old pump")]
+    df = spark.createDataFrame([(i, "s", t) for i, t in rows], "id string, source string, text string")
+    assert [r.node_id for r in truncation.found(df).collect()] == ["c"]
+
+
+def test_limit_at_which_whole_texts_pile_up(spark):
+    texts = [("x" * (80 + k % 40) + f"{k:04d}.") for k in range(160)] + ["y" * 195 + f"{k:04d}." for k in range(60)]
+    df = spark.createDataFrame([(f"n{k}", "s", t) for k, t in enumerate(texts)], "id string, source string, text string")
+    got = {(r.measure, r.length, r.texts, r.unfinished) for r in truncation.limits(df).collect()}
+    assert ("chars", 200, 60, 0) in got and all(length == 200 for _, length, _, _ in got)
