@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sylvan.session import cut
@@ -20,6 +20,10 @@ from sylvan.session import cut
 COMPONENT_EDGES = 200_000
 #: Out-links of one node from which its links stay out of the block-local step.
 HUB_LINKS = 50_000
+#: Links of one block from which all of them stay out of it, so that no task holds more.
+BLOCK_LINKS = 1_000_000
+#: Rounds of joins before blocks are peeled, each a layer of leaves and a layer of roots.
+LAYERS = 2
 
 
 def _local_forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -114,17 +118,33 @@ def _peel_block(leaves: bool):
     return peel
 
 
-def peel(edges: DataFrame, rounds: int = 6) -> DataFrame:
-    """The edges ``(s, sb, d, db)`` that lie on cycles or between cycles (a superset, if ``rounds``
-    end first). ``sb`` and ``db`` are the blocks of the ends: bounded ranges of node numbers, so
-    that a chain inside one block is peeled in one step. Links of hubs skip the local step.
+def _layer(e: DataFrame) -> DataFrame:
+    """``(s, sb, d, db)`` without links of nodes that lead nowhere or that nothing leads to, one layer of each."""
+    e = e.join(e.select(F.col("s").alias("d")).distinct(), "d", "left_semi").select("s", "sb", "d", "db")
+    return cut(e.join(e.select(F.col("d").alias("s")).distinct(), "s", "left_semi").select("s", "sb", "d", "db"))
+
+
+def _crowded(e: DataFrame, end: str, block: str) -> DataFrame:
+    """Ends whose links stay out of the local step: hubs, and all ends of a block with too many links."""
+    n = e.groupBy(end, block).agg(F.count("*").alias("n"))
+    full = n.where(F.col("n") <= HUB_LINKS).groupBy(block).agg(F.sum("n").alias("all")).where(F.col("all") > BLOCK_LINKS).select(block)
+    return n.where(F.col("n") > HUB_LINKS).select(end).union(n.join(full, block, "left_semi").select(end)).distinct()
+
+
+def peel(edges: DataFrame, rounds: int = 6, enough: int = 0) -> DataFrame:
+    """The edges ``(s, sb, d, db)`` that lie on cycles or between cycles, or a superset of them if
+    ``rounds`` end first or at most ``enough`` are left. ``sb`` and ``db`` are the blocks of the ends:
+    bounded ranges of node numbers, so that after the first layers, which are joins alone, a chain
+    inside one block is peeled in one step. Links of hubs and of crowded blocks skip the local step.
     """
     flags = ["s_hub", "d_hub", "s_far", "d_far"]
     schema = "s long, sb long, d long, db long, " + ", ".join(f"{x} boolean" for x in flags)
-    e = edges.select("s", "sb", "d", "db").distinct()
-    e = cut(e.join(e.select(F.col("s").alias("d")).distinct(), "d", "left_semi").select("s", "sb", "d", "db"))
-    out = e.groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") > HUB_LINKS).select("s")
-    into = e.groupBy("d").agg(F.count("*").alias("n")).where(F.col("n") > HUB_LINKS).select("d")
+    e = cut(edges.select("s", "sb", "d", "db").distinct())
+    for _ in range(LAYERS):
+        e = _layer(e)
+        if e.count() <= enough:
+            return e
+    out, into = _crowded(e, "s", "sb"), _crowded(e, "d", "db")
     # a hub's links are not all in its block's group, so as a far end it counts as alive there
     for name, end, hubs in (("s_hub", "s", out), ("d_hub", "d", into), ("d_far", "d", out.withColumnRenamed("s", "d")), ("s_far", "s", into.withColumnRenamed("d", "s"))):
         e = e.join(hubs.withColumn(name, F.lit(True)), end, "left")
@@ -137,7 +157,7 @@ def peel(edges: DataFrame, rounds: int = 6) -> DataFrame:
         e = e.join(e.select(F.col("s").alias("d")).distinct(), "d", "left_semi").select("s", "sb", "d", "db", *flags)
         e = cut(e.join(e.select(F.col("d").alias("s")).distinct(), "s", "left_semi").select("s", "sb", "d", "db", *flags))
         n = e.count()
-        if n in (0, count):
+        if n <= enough or n == count:
             break
         count = n
     return e.select("s", "sb", "d", "db")
@@ -243,13 +263,15 @@ def _colour(edges: DataFrame) -> DataFrame:
 
 def nodes_on_cycles(edges: DataFrame, component_edges: int = COMPONENT_EDGES) -> DataFrame:
     """``(node, cycle)`` for each node that can reach itself; ``cycle`` names its strongly connected
-    component. ``edges``: ``(s, sb, d, db)`` as in :func:`peel`. Leaves and roots are peeled first;
-    what stays is split into weak components. A component within ``component_edges`` is solved in
-    one task, any larger one by distributed colouring. Self-links count as cycles.
+    component. ``edges``: ``(s, sb, d, db)`` as in :func:`peel`. Leaves and roots are peeled first.
+    What stays is solved in one task if it has at most ``component_edges`` links, else split into weak
+    components, of which each within that bound is one task's and a larger one goes to distributed
+    colouring. Self-links count as cycles.
     """
-    core = peel(edges)
-    if core.isEmpty():
-        return core.select(F.col("s").alias("node"), F.col("s").alias("cycle"))
+    core = peel(edges, enough=component_edges)
+    left = core.count()
+    if left <= component_edges:
+        return core.select("s", "d", F.lit(0).alias("all")).groupBy("all").applyInPandas(lambda pdf: _tarjan(pdf), "node long, cycle long")
     loops = core.where("s = d")
     parts = connected_components(core, "s", "d")
     parts = parts.union(loops.select(F.col("s").alias("node"), F.col("s").alias("component")).join(parts.select("node"), "node", "left_anti").distinct())
@@ -262,8 +284,3 @@ def nodes_on_cycles(edges: DataFrame, component_edges: int = COMPONENT_EDGES) ->
         return found
     return found.union(_colour(marked.join(large, "component", "left_semi")))
 
-
-def latest(df: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """One row for each key, the first in ``order``."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")

@@ -3,16 +3,19 @@
 Leaves are peeled to expose cycles (:mod:`sylvan.operators.graph`). What is acyclic becomes a
 forest over each node's first parent, whose Euler tour is ranked in parallel: tour arcs are
 chained inside bounded blocks of node numbers, the chains alone are ranked by pointer jumping,
-and the block positions are added back. Entry and exit give depth, root and descendant counts;
-paths over every parent (a node may have several) come from path doubling, so that the number
-of rounds is the logarithm of the depth.
+and the block positions are added back. Entry and exit give depth, root and the nodes below.
+
+A node may have several parents, and may lead to a cycle. Links that the forest does not hold are
+marked on the tour, so entry and exit also tell below which nodes there are any; only for these
+nodes reachability is followed, the trees below them without such links count by their intervals.
+Paths over every parent come from path doubling, in a logarithmic number of rounds.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sylvan.operators.graph import nodes_on_cycles
@@ -50,85 +53,108 @@ def cyclic_ids(nodes: DataFrame) -> DataFrame:
 
 
 def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Follow tour arcs inside one block. Adds for each arc the head of its chain, its position
-    and running depth in the chain; the chain's last arc also carries where the tour goes on."""
-    arc, nxt, w = pdf["arc"].to_numpy(), pdf["next"].to_numpy(), pdf["w"].to_numpy()
-    order = np.argsort(arc)
-    arc, nxt, w = arc[order], nxt[order], w[order]
+    """Follow tour arcs inside one block. Adds for each arc the head of its chain, its position,
+    running depth and running marks in the chain; the chain's last arc also carries where the tour goes on."""
+    order = np.argsort(pdf["arc"].to_numpy())
+    arc, nxt, w, m = (pdf[c].to_numpy()[order] for c in ("arc", "next", "w", "m"))
     pos = np.searchsorted(arc, nxt)
     inside = (pos < len(arc)) & (arc[np.minimum(pos, len(arc) - 1)] == nxt)
     to = np.where(inside, pos, -1)
     has_pred = np.zeros(len(arc), bool)
     has_pred[to[to >= 0]] = True
-    head, at, depth = np.zeros(len(arc), np.int64), np.zeros(len(arc), np.int64), np.zeros(len(arc), np.int64)
-    to_l, w_l = to.tolist(), w.tolist()
+    head, at, depth, marks = (np.zeros(len(arc), np.int64) for _ in range(4))
+    to_l, w_l, m_l = to.tolist(), w.tolist(), m.tolist()
     for h in np.flatnonzero(~has_pred).tolist():
-        k, i, x = 0, h, 0
+        k, i, x, y = 0, h, 0, 0
         while i >= 0:
             head[i], at[i] = h, k
             x += w_l[i]
-            depth[i] = x
+            y += m_l[i]
+            depth[i], marks[i] = x, y
             k += 1
             i = to_l[i]
-    return pd.DataFrame({"arc": arc, "head": arc[head], "at": at, "x": depth, "onward": np.where(to < 0, nxt, -1), "last": to < 0})
-
-
-def _rank(arcs: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """``(arc, head, rank, depth)``: rank from the start of each list and running depth. ``arcs``:
-    ``(arc, next, w, block)``, ``next`` -1 at the end of a list."""
-    chains = cut(arcs.groupBy("block").applyInPandas(_chain, "arc long, head long, at long, x long, onward long, last boolean"))
-    # one row for each chain: its length and weight, and the chain before it
-    ends = chains.where("last").select("head", (F.col("at") + 1).alias("len"), F.col("x").alias("wt"), "onward")
-    before = ends.where("onward >= 0").select(F.col("onward").alias("head"), F.col("head").alias("prev"), F.col("len").alias("plen"), F.col("wt").alias("pwt"))
-    cur = cut(
-        ends.select("head").join(before, "head", "left").select("head", "prev", F.coalesce("plen", F.lit(0)).alias("off"), F.coalesce("pwt", F.lit(0)).alias("xoff"), F.coalesce("prev", "head").alias("first"))
-    )
-    for _ in range(max_rounds):
-        if cur.where("prev is not null").isEmpty():
-            break
-        up = cur.select(F.col("head").alias("prev"), F.col("prev").alias("prev2"), F.col("off").alias("off2"), F.col("xoff").alias("xoff2"), F.col("first").alias("first2"))
-        cur = cut(
-            cur.join(up, "prev", "left").select(
-                "head", F.col("prev2").alias("prev"), (F.col("off") + F.coalesce("off2", F.lit(0))).alias("off"),
-                (F.col("xoff") + F.coalesce("xoff2", F.lit(0))).alias("xoff"), F.coalesce("first2", "first").alias("first"),
-            )
-        )
-    return chains.join(cur.select("head", "off", "xoff", "first"), "head").select("arc", F.col("first").alias("list"), (F.col("at") + F.col("off")).alias("rank"), (F.col("x") + F.col("xoff")).alias("depth"))
-
-
-def euler(forest: DataFrame, vertex: DataFrame) -> DataFrame:
-    """``(v, root, depth, entry, leave)`` of each vertex of a forest given as ``(d, s, ord)``,
-    child and its one parent. A parent's children come from one row's array, so the sibling window
+    return pd.DataFrame({"arc": arc, "head": arc[head], "at": at, "x": depth, "y": marks, "onward": np.where(to < 0, nxt, -1), "last": to < 0})
+
+
+def _rank(arcs: DataFrame) -> DataFrame:
+    """``(arc, list, rank, depth, marks)``: rank from the start of each list, running depth and marks.
+    ``arcs``: ``(arc, next, w, m, block)``, ``next`` -1 at the end of a list. Each round halves the
+    chains before a chain, so the rounds end by themselves; a list that closes on itself raises."""
+    chains = cut(arcs.groupBy("block").applyInPandas(_chain, "arc long, head long, at long, x long, y long, onward long, last boolean"))
+    # one row for each chain: its length and weights, and the chain before it
+    ends = chains.where("last").select("head", (F.col("at") + 1).alias("len"), F.col("x").alias("wt"), F.col("y").alias("mt"), "onward")
+    before = ends.where("onward >= 0").select(F.col("onward").alias("head"), F.col("head").alias("prev"), F.col("len").alias("off"), F.col("wt").alias("xoff"), F.col("mt").alias("yoff"))
+    sums = ("off", "xoff", "yoff")
+    cur = cut(ends.select("head").join(before, "head", "left").na.fill(0, list(sums)).select("head", "prev", *sums, F.coalesce("prev", "head").alias("first")))
+    rounds = 0
+    while not cur.where("prev is not null").isEmpty():
+        if rounds == 64:
+            raise RuntimeError("a tour does not end")
+        rounds += 1
+        up = cur.select(F.col("head").alias("prev"), F.col("prev").alias("prev2"), *(F.col(c).alias(f"{c}2") for c in sums), F.col("first").alias("first2"))
+        grown = [(F.col(c) + F.coalesce(f"{c}2", F.lit(0))).alias(c) for c in sums]
+        cur = cut(cur.join(up, "prev", "left").select("head", F.col("prev2").alias("prev"), *grown, F.coalesce("first2", "first").alias("first")))
+    whole = chains.join(cur.select("head", *sums, "first"), "head")
+    return whole.select("arc", F.col("first").alias("list"), (F.col("at") + F.col("off")).alias("rank"), (F.col("x") + F.col("xoff")).alias("depth"), (F.col("y") + F.col("yoff")).alias("marks"))
+
+
+def euler(forest: DataFrame, vertex: DataFrame, marked: DataFrame) -> DataFrame:
+    """``(v, root, depth, entry, leave, below)`` of each vertex of a forest given as ``(d, s, ord)``,
+    child and its one parent; ``below``: whether one of the vertices ``marked`` ``(v)`` is the vertex
+    itself or below it. A parent's children come from one row's array, so the sibling window
     holds no more than that row did. Arc ``2i`` enters the vertex with dense index ``i``, ``2i+1`` leaves it."""
     kids = Window.partitionBy("s").orderBy("ord", "d")
     tree = forest.select("d", "s", "ord").withColumn("sib", F.lead("d").over(kids)).withColumn("k", F.row_number().over(kids))
     first = tree.where("k = 1").select(F.col("s").alias("v"), F.col("d").alias("first"))
-    info = vertex.select("v", "vb").join(first, "v", "left").join(tree.select(F.col("d").alias("v"), F.col("s").alias("parent"), "sib"), "v", "left")
+    own = marked.select("v").distinct().withColumn("m", F.lit(1))
+    info = vertex.select("v", "vb").join(first, "v", "left").join(tree.select(F.col("d").alias("v"), F.col("s").alias("parent"), "sib"), "v", "left").join(own, "v", "left").na.fill(0, ["m"])
     down, up = F.col("v") * 2, F.col("v") * 2 + 1
-    arcs = info.select(
-        F.explode(
-            F.array(
-                F.struct(down.alias("arc"), F.when(F.col("first").isNotNull(), F.col("first") * 2).otherwise(up).alias("next"), F.lit(1).alias("w"), F.col("vb").alias("block")),
-                F.struct(up.alias("arc"), F.when(F.col("sib").isNotNull(), F.col("sib") * 2).when(F.col("parent").isNotNull(), F.col("parent") * 2 + 1).otherwise(F.lit(-1)).alias("next"), F.lit(-1).alias("w"), F.col("vb").alias("block")),
-            )
-        ).alias("x")
-    ).select("x.*")
-    ranked = _rank(arcs)
-    v = F.floor(F.col("arc") / 2)
-    return (
-        ranked.groupBy(v.cast("long").alias("v"))
-        .agg(F.min("rank").alias("entry"), F.max("rank").alias("leave"), F.max("depth").alias("depth"), F.first("list").alias("list"))
-        .select("v", F.floor(F.col("list") / 2).cast("long").alias("root"), (F.col("depth") - 1).alias("depth"), "entry", "leave")
-    )
+    enter = F.when(F.col("first").isNotNull(), F.col("first") * 2).otherwise(up)
+    onward = F.when(F.col("sib").isNotNull(), F.col("sib") * 2).when(F.col("parent").isNotNull(), F.col("parent") * 2 + 1).otherwise(F.lit(-1))
+
+    def arc(number: Column, to: Column, w: int, m: Column) -> Column:
+        return F.struct(number.alias("arc"), to.alias("next"), F.lit(w).alias("w"), m.alias("m"), F.col("vb").alias("block"))
+
+    # marks count on entry: between entry and exit lie those below the vertex, without its own
+    ranked = _rank(info.select(F.explode(F.array(arc(down, enter, 1, F.col("m")), arc(up, onward, -1, F.lit(0)))).alias("x")).select("x.*"))
+    v = F.floor(F.col("arc") / 2).cast("long").alias("v")
+    both = ranked.groupBy(v).agg(F.min("rank").alias("entry"), F.max("rank").alias("leave"), F.max("depth").alias("depth"), F.first("list").alias("list"), (F.max("marks") - F.min("marks")).alias("inner"))
+    both = both.join(own, "v", "left")
+    return both.select("v", F.floor(F.col("list") / 2).cast("long").alias("root"), (F.col("depth") - 1).alias("depth"), "entry", "leave", ((F.col("inner") > 0) | F.col("m").isNotNull()).alias("below"))
+
+
+def _count(edge: DataFrame, ranks: DataFrame, cyclic: DataFrame, first: DataFrame) -> DataFrame:
+    """``(v, n)``: how many nodes each node reaches, itself included only on a cycle, for the nodes
+    below which there is a link outside the forest; the others reach their interval alone.
+
+    Reachability is followed among these nodes. A tree that hangs below them without such links
+    counts by its interval; one whose first parent is not among them may lie inside another that is
+    reached too, so where such a tree is reached the nested intervals of a node are left out."""
+    some = cut(ranks.where("below").select("v").union(cyclic.select(F.col("node").alias("v"))))
+    inner = edge.join(some.withColumnRenamed("v", "s"), "s", "left_semi").join(some.withColumnRenamed("v", "d"), "d", "left_semi").select("s", "d")
+    pairs = cut(closure(inner).select("s", "d"))
+    tree = ranks.where("not below").join(first.select(F.col("d").alias("v"), F.col("s").alias("p")), "v", "left")
+    tree = tree.join(some.select(F.col("v").alias("p"), F.lit(True).alias("outer")), "p", "left").select(F.col("v").alias("t"), "root", "entry", "leave", F.coalesce("outer", F.lit(False)).alias("outer"))
+    hang = edge.join(some.withColumnRenamed("v", "s"), "s", "left_semi").select("s", F.col("d").alias("t")).join(tree, "t")
+    reached = pairs.select(F.col("s").alias("v"), F.col("d").alias("s")).union(some.select("v", F.col("v").alias("s"))).distinct().join(hang, "s").drop("s").distinct()
+    size = (F.col("leave") - F.col("entry") + 1) / 2
+    mixed = reached.where("not outer").select("v", "root").distinct()
+    before = F.max("leave").over(Window.partitionBy("v", "root").orderBy("entry").rowsBetween(Window.unboundedPreceding, -1))
+    nested = reached.join(mixed, ["v", "root"], "left_semi").withColumn("before", before).where("before is null or before < leave")
+    trees = reached.join(mixed, ["v", "root"], "left_anti").select("v", size.alias("n")).union(nested.select("v", size.alias("n")))
+    every = trees.union(pairs.select(F.col("s").alias("v"), F.lit(1.0).alias("n"))).groupBy("v").agg(F.sum("n").cast("long").alias("n"))
+    return some.join(every, "v", "left").na.fill(0, ["n"])
 
 
 def hierarchy(nodes: DataFrame) -> DataFrame:
-    """One row for each id: ``id, root, depth, entry, leave, descendants, parents, status``.
+    """One row for each id: ``id, root, depth, entry, leave, in_tree, descendants, parents, status``.
 
-    ``root`` and ``depth`` follow the first parent (smallest vertex) of a node that has several;
-    ``descendants`` counts the nodes below it in that forest. ``status`` is 'cycle' (lies on one;
-    root, depth and interval null), 'below cycle' (a parent lies on one; the node starts its own
-    tree), 'orphan' (no parent, no child), 'root' or 'node'. An empty table gives no rows.
+    ``root``, ``depth``, ``entry``, ``leave`` and ``in_tree`` (the nodes between the last two) follow
+    the first parent (smallest vertex) of a node that has several. ``descendants`` counts every node
+    that can be reached over any links, through and from cycles too; a node on a cycle reaches
+    itself. ``status`` is 'cycle' (lies on one; root, depth and interval null), 'below cycle' (a
+    parent lies on one; the node starts its own tree), 'orphan' (no parent, no child), 'root' or
+    'node'. An empty table gives no rows.
     """
     vertex = cut(_dense(nodes))
     edge = cut(links(nodes, vertex))
@@ -138,7 +164,9 @@ def hierarchy(nodes: DataFrame) -> DataFrame:
     first = acyclic.groupBy("d").agg(F.min(F.struct("s", "ord")).alias("p"), F.count("*").alias("parents")).select("d", "p.s", "p.ord", "parents")
     first = cut(first)
     free = vertex.join(on.withColumnRenamed("node", "v"), "v", "left_anti")
-    ranks = euler(first, free)
+    beside = edge.join(first.select("s", "d"), ["s", "d"], "left_anti").select(F.col("s").alias("v"))
+    ranks = cut(euler(first, free, beside))
+    count = _count(edge, ranks, on, first)
     under = edge.join(on.withColumnRenamed("node", "s"), "s", "left_semi").select(F.col("d").alias("v")).distinct().withColumn("under", F.lit(True))
     name = vertex.select(F.col("v").alias("root"), F.col("id").alias("root_id"))
     all_rows = (
@@ -147,17 +175,18 @@ def hierarchy(nodes: DataFrame) -> DataFrame:
         .join(name, "root", "left")
         .join(first.select(F.col("d").alias("v"), "parents"), "v", "left")
         .join(under, "v", "left")
+        .join(count, "v", "left")
     )
     size = ((F.col("leave") - F.col("entry") - 1) / 2).cast("long")
     status = (
         F.when(F.col("entry").isNull(), "cycle")
         .when(F.col("parents").isNotNull(), "node")
         .when(F.col("under"), "below cycle")
-        .when(size == 0, "orphan")
+        .when((size == 0) & (F.coalesce("n", F.lit(0)) == 0), "orphan")
         .otherwise("root")
     )
     return all_rows.select(
-        "id", F.col("root_id").alias("root"), "depth", "entry", "leave", size.alias("descendants"),
+        "id", F.col("root_id").alias("root"), "depth", "entry", "leave", size.alias("in_tree"), F.coalesce("n", size).alias("descendants"),
         F.coalesce("parents", F.lit(0)).cast("long").alias("parents"), status.alias("status"),
     )
 
@@ -168,10 +197,11 @@ def _dense(nodes: DataFrame) -> DataFrame:
     return nodes.where("id is not null").groupBy("id").agg(v.alias("v")).withColumn("vb", F.floor(F.col("v") / BLOCK).cast("long"))
 
 
-def paths(nodes: DataFrame, max_rounds: int = 40) -> DataFrame:
+def paths(nodes: DataFrame) -> DataFrame:
     """``(id, root, depth, path)``: every full path from a root to a node, over all of its parents,
     ids from the root down. Nodes on cycles have none; a node below a cycle starts its own path.
-    Paths double in length each round, so a chain of depth n takes log2(n) rounds.
+    Paths double in length each round, so a chain of depth n takes log2(n) rounds; they end where no
+    top has parents left. A node has as many rows as paths lead to it.
     """
     vertex = cut(_dense(nodes))
     edge = cut(links(nodes, vertex))
@@ -183,9 +213,7 @@ def paths(nodes: DataFrame, max_rounds: int = 40) -> DataFrame:
     seg = up.select(F.col("d").alias("v"), F.col("s").alias("top"), F.array("d").alias("seg"))
     tops = free.select("v", F.col("v").alias("top"), F.array().cast("array<bigint>").alias("seg")).join(up.select(F.col("d").alias("v")).distinct(), "v", "left_anti")
     cur = cut(seg.union(tops).join(has, "top", "left").select("v", "top", "seg", F.coalesce("open", F.lit(False)).alias("open")))
-    for _ in range(max_rounds):
-        if cur.where("open").isEmpty():
-            break
+    while not cur.where("open").isEmpty():
         head = cur.select(F.col("v").alias("top"), F.col("top").alias("top2"), F.col("seg").alias("seg2"), F.col("open").alias("open2"))
         grown = cur.where("open").join(head, "top").select("v", F.col("top2").alias("top"), F.concat("seg2", "seg").alias("seg"), F.col("open2").alias("open"))
         cur = cut(grown.union(cur.where("not open")))
@@ -196,31 +224,43 @@ def paths(nodes: DataFrame, max_rounds: int = 40) -> DataFrame:
     return path.select(F.col("x.id").alias("path")).select(F.element_at("path", -1).alias("id"), F.element_at("path", 1).alias("root"), (F.size("path") - 1).alias("depth"), "path")
 
 
-def descendants(nodes: DataFrame) -> DataFrame:
-    """``(ancestor, descendant, distance)``: every pair of a node and a node below it over all
-    parents, with the shortest distance. Read off the full paths, so its size is its output's, and
-    links that touch a node on a cycle are left out; :func:`reachable` keeps them."""
-    p = paths(nodes).select("id", "depth", F.posexplode("path").alias("pos", "ancestor"))
-    return p.where("pos < depth").groupBy("ancestor", F.col("id").alias("descendant")).agg(F.min(F.col("depth") - F.col("pos")).cast("int").alias("distance"))
-
-
-def reachable(nodes: DataFrame) -> DataFrame:
-    """``(ancestor, descendant, distance)``: every pair of a node and a node that it reaches over one
-    or more links, through and from cycles too, with the shortest distance. A node on a cycle is its
-    own descendant. A pair further apart than the reach so far has a node exactly that far from
-    its ancestor on a shortest way, so the reach doubles each round and ends by itself.
+def closure(edges: DataFrame) -> DataFrame:
+    """``(s, d, distance)``: every pair of a node and one that it reaches over one or more links, with
+    the shortest distance. A pair further apart than the reach so far has a node exactly that far from
+    its start on a shortest way, so the reach doubles each round and ends by itself; its size is its output's.
     """
-    vertex = cut(_dense(nodes))
-    cur = cut(links(nodes, vertex).select("s", "d", F.lit(1).alias("distance")))
+    cur = cut(edges.select("s", "d", F.lit(1).alias("distance")).distinct())
     reach = 1
     while True:
         far = cur.where(F.col("distance") == reach)
         if far.isEmpty():
-            break
+            return cur
         onward = cur.select(F.col("s").alias("m"), "d", F.col("distance").alias("more"))
         grown = far.select("s", F.col("d").alias("m")).join(onward, "m").groupBy("s", "d").agg((F.min("more") + reach).cast("int").alias("distance"))
         cur = cut(cur.union(grown.join(cur.select("s", "d"), ["s", "d"], "left_anti").select("s", "d", "distance")))
         reach *= 2
+
+
+def _named(pairs: DataFrame, vertex: DataFrame) -> DataFrame:
     name = vertex.select("v", "id")
-    named = cur.join(name.select(F.col("v").alias("s"), F.col("id").alias("ancestor")), "s").join(name.select(F.col("v").alias("d"), F.col("id").alias("descendant")), "d")
+    named = pairs.join(name.select(F.col("v").alias("s"), F.col("id").alias("ancestor")), "s").join(name.select(F.col("v").alias("d"), F.col("id").alias("descendant")), "d")
     return named.select("ancestor", "descendant", "distance")
+
+
+def descendants(nodes: DataFrame) -> DataFrame:
+    """``(ancestor, descendant, distance)``: every pair of a node and a node below it over all
+    parents, with the shortest distance. Links that touch a node on a cycle are left out;
+    :func:`reachable` keeps them."""
+    vertex = cut(_dense(nodes))
+    edge = cut(links(nodes, vertex))
+    on = cut(nodes_on_cycles(edge)).select("node")
+    acyclic = edge.join(on.withColumnRenamed("node", "s"), "s", "left_anti").join(on.withColumnRenamed("node", "d"), "d", "left_anti")
+    return _named(closure(acyclic), vertex)
+
+
+def reachable(nodes: DataFrame) -> DataFrame:
+    """``(ancestor, descendant, distance)``: every pair of a node and a node that it reaches over one
+    or more links, through and from cycles too, with the shortest distance. A node on a cycle is its
+    own descendant."""
+    vertex = cut(_dense(nodes))
+    return _named(closure(links(nodes, vertex)), vertex)

@@ -51,7 +51,9 @@ def test_cycles_and_hierarchy(spark, seed, monkeypatch):
     for i, r in rows.items():
         if r.status != "cycle":
             inside = [x for x, s in rows.items() if s.status != "cycle" and s.root == r.root and r.entry < s.entry and s.leave < r.leave]
-            assert len(inside) == r.descendants
+            assert len(inside) == r.in_tree
+    # descendants are those over all parents, through and from cycles
+    assert {i: r.descendants for i, r in rows.items()} == {i: len(reach(kids, i)) for i in kids}
     acyclic = {a: [b for b in set(v) if b in kids and b not in want] for a, v in kids.items() if a not in want}
     parents = {a: [p for p, v in acyclic.items() if a in v] for a in acyclic}
 
@@ -70,7 +72,7 @@ def test_dirt(spark):
     df = spark.createDataFrame(rows, SCHEMA).withColumn("parent", F.lit("clash"))
     assert [r.id for r in hierarchy.cyclic_ids(df).collect()] == ["1234567890123456"]
     got = {r.id: (r.status, r.depth, r.descendants) for r in hierarchy.hierarchy(df).collect()}
-    assert got == {"aaaaaaaaaaaaaaaa": ("root", 0, 1), "bbbbbbbbbbbbbbbb": ("node", 1, 0), "1234567890123456": ("cycle", None, None)}
+    assert got == {"aaaaaaaaaaaaaaaa": ("root", 0, 1), "bbbbbbbbbbbbbbbb": ("node", 1, 0), "1234567890123456": ("cycle", None, 1)}
 
 
 def test_empty(spark):
@@ -130,3 +132,32 @@ def test_colouring_takes_a_row_of_cycles_in_few_rounds(spark, monkeypatch):
     got = {(r.node, r.cycle) for r in graph._colour(e).collect()}
     assert {n for n, _ in got} == {3 * k + i for k in range(12) for i in (0, 1)} and len({c for _, c in got}) == 12
     assert len(trims) <= 8
+
+
+def layers(n):
+    return [(hexid(2 * k + a), hexid(2 * k + 2 + b)) for k in range(n - 1) for a in (0, 1) for b in (0, 1)]
+
+
+def test_many_paths_few_descendants(spark):
+    df, kids = nodes(spark, layers(30))  # 2^29 paths lead to each node of the last layer
+    pairs = {(r.ancestor, r.descendant): r.distance for r in hierarchy.descendants(df).collect()}
+    assert pairs == {(a, b): k for a in kids for b, k in steps(kids, a).items()} and len(pairs) == 1740
+    assert {r.id: r.descendants for r in hierarchy.hierarchy(df).collect()} == {i: len(reach(kids, i)) for i in kids}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_counts_over_all_parents(spark, seed):
+    rng = random.Random(seed)
+    # trees with few links beside them, so that whole trees hang below the nodes that are followed
+    links = {(hexid(rng.randrange(k)), hexid(k)) for k in range(1, 90)} | {(hexid(rng.randrange(60)), hexid(60 + rng.randrange(30))) for _ in range(14)}
+    links |= {(hexid(71), hexid(72)), (hexid(72), hexid(71))} if seed else set()
+    df, kids = nodes(spark, sorted(links))
+    assert {r.id: r.descendants for r in hierarchy.hierarchy(df).collect()} == {i: len(reach(kids, i)) for i in kids}
+
+
+def test_crowded_blocks_stay_out_of_the_local_step(spark, monkeypatch):
+    monkeypatch.setattr(graph, "BLOCK_LINKS", 4)
+    monkeypatch.setattr(graph, "LAYERS", 0)
+    links = [(k, k + 1) for k in range(30)] + [(30, 27), (5, 40), (40, 41), (41, 40)]
+    e = spark.createDataFrame([(a, a // 8, b, b // 8) for a, b in links], "s long, sb long, d long, db long")
+    assert {r.node for r in graph.nodes_on_cycles(e, component_edges=3).collect()} == {27, 28, 29, 30, 40, 41}
