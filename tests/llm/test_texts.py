@@ -240,3 +240,40 @@ def test_limit_at_which_whole_texts_pile_up(spark):
     df = spark.createDataFrame([(f"n{k}", "s", t) for k, t in enumerate(texts)], "id string, source string, text string")
     got = {(r.measure, r.length, r.texts, r.unfinished) for r in truncation.limits(df).collect()}
     assert ("chars", 200, 60, 0) in got and all(length == 200 for _, length, _, _ in got)
+
+
+def test_a_large_index_equals_brute_force_in_memory_of_its_postings():
+    rng = random.Random(8)
+    weights = [1 / (k + 1) for k in range(60_000)]
+    pool = rng.choices([f"w{k}" for k in range(60_000)], weights, k=1_200_000)
+    items = [(k, " ".join(pool[50 * k : 50 * k + rng.randrange(12, 50)])) for k in range(20_000)]
+    docs = []
+    for k in range(300):
+        words = rng.choices(pool, k=150)
+        src = items[rng.randrange(20_000)][1].split()
+        if k % 3:
+            a = rng.randrange(len(src))
+            words[70:70] = src[a : a + rng.randrange(10, 30)]
+        docs.append(words)
+    index = leakage.Index(items)
+    postings = sum(len(set(t.split())) for _, t in items)
+    assert index.nbytes() <= 60 * postings + 400 * len(index.vocabulary)
+    runs = {}
+    for i, t in items:
+        w = t.split()
+        for a in range(len(w) - 11):
+            runs.setdefault(tuple(w[a : a + 12]), set()).add(i)
+    for words in docs:
+        numbers = np.array([index.vocabulary.get(w, -1) for w in words] + [-1], np.int32)
+        want = {i for a in range(len(words) - 11) for i in runs.get(tuple(words[a : a + 12]), ())}
+        assert {int(index.ids[k]) for _, k in index.search(numbers)} == want
+
+
+def test_an_index_over_its_bound_is_built_in_halves(spark):
+    items = [(k, " ".join(f"v{(k * 7 + j) % 300}" for j in range(20))) for k in range(40)]
+    whole = leakage.Index(items).nbytes()
+    parts = list(leakage.indexes(items, whole // 3))
+    assert len(parts) > 2 and all(x.nbytes() <= whole // 3 for x in parts) and sorted(i for x in parts for i in x.ids.tolist()) == list(range(40))
+    d = spark.createDataFrame([(1, items[3][1]), (2, "nothing here")], "doc_id long, text string")
+    i = spark.createDataFrame(items, "item_id long, text string")
+    assert {tuple(r) for r in leakage.leaks(d, i, most=whole // 3).collect()} == {tuple(r) for r in leakage.leaks(d, i).collect()} >= {(1, 3)}
