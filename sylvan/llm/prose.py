@@ -6,8 +6,11 @@ a Gaussian mixture fitted by expectation-maximization; each component is then ma
 code, list, table or junk by the inspected examples below that it explains best. A document's share
 of prose is the share of its characters, without white space, in prose segments.
 
-The mixture is fitted on at most ``FIT_SEGMENTS`` segments of at most ``FIT_DOCUMENTS`` documents,
-chosen by a hash of their ids; every document is then measured and labelled whole.
+Texts are read and measured once; the statistics of their segments, some 50 bytes each, are written
+beside the counts of their document. Mean and scale, and each round of expectation-maximization,
+are then sums over all segments of all documents, added up per task and in one aggregation. Only the
+place where the rounds begin comes from a bounded sample (``SEED_DOCUMENTS``, ``SEED_SEGMENTS``),
+the documents of the smallest hashes of their ids.
 """
 
 from __future__ import annotations
@@ -22,8 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FIT_DOCUMENTS, FIT_SEGMENTS = 3_000, 12_000
-COMPONENTS, ROUNDS, SEED = 20, 40, 11
+from sylvan.session import cut
+
+SEED_DOCUMENTS, SEED_SEGMENTS = 1_500, 6_000
+COMPONENTS, SEED_ROUNDS, SEED = 20, 40, 11
+#: Rounds over all segments; they end before if the mean log likelihood gains less than this.
+ROUNDS, GAIN = 12, 1e-3
+#: Sums are added up as whole multiples of this, so that their order does not matter.
+GRAIN = 2.0**-20
 #: Weight of all inspected examples against all fitted segments.
 ANCHOR = 0.2
 #: Inspected examples that name a component.
@@ -207,15 +216,21 @@ def measure(lines: list[str], common: frozenset[str]) -> tuple[tuple[int, int, i
     ]
 
 
+def _squares(z: np.ndarray) -> np.ndarray:
+    """One, the statistics and their products by pairs: what a Gaussian's logarithm is linear in."""
+    i, j = np.triu_indices(z.shape[1])
+    return np.concatenate([np.ones((len(z), 1)), z, z[:, i] * z[:, j]], axis=1)
+
+
 class Mixture:
     """Gaussian mixture on standardized statistics, full covariances."""
 
     def __init__(self, mean: np.ndarray, scale: np.ndarray):
         self.mean, self.scale = mean, scale
 
-    def fit(self, x: np.ndarray, known: np.ndarray, label: np.ndarray) -> Mixture:
-        """Expectation-maximization on ``x`` together with the inspected examples ``known``; the
-        examples seed a component for each class, far points the others."""
+    def start(self, known: np.ndarray, label: np.ndarray, x: np.ndarray) -> Mixture:
+        """Components at the inspected examples ``known``, one for each class, and at far points of
+        the sample ``x``, then brought near by rounds on the sample."""
         z = np.concatenate([(known - self.mean) / self.scale, (x - self.mean) / self.scale])
         rng = np.random.default_rng(SEED)
         script = known[:, FEATURES.index("word_length")] == CJK_LENGTH  # scripts without spaces get seeds of their own
@@ -226,31 +241,68 @@ class Mixture:
             c = z[rng.choice(len(z), p=gap / gap.sum()) if gap.sum() > 0 else 0]
             centres.append(c)
             gap = np.minimum(gap, ((z - c) ** 2).sum(axis=1))
-        k, d = len(centres), z.shape[1]
-        self.mu = np.array(centres)
-        self.cov = np.repeat(np.eye(d)[None], k, axis=0)
-        self.weight = np.full(k, 1.0 / k)
+        self.set(np.array(centres), np.repeat(np.eye(z.shape[1])[None], len(centres), axis=0), np.full(len(centres), 1.0 / len(centres)))
         before = -np.inf
-        # the inspected examples together weigh a fixed share, so that they hold components in place
-        own = np.ones(len(z))
-        own[: len(known)] = max(1.0, ANCHOR * len(x) / len(known))
-        for _ in range(ROUNDS):
-            log = self._log(z)
-            top = log.max(axis=1, keepdims=True)
-            total = top[:, 0] + np.log(np.exp(log - top).sum(axis=1))
-            r = np.exp(log - total[:, None]) * own[:, None]
-            n = r.sum(axis=0) + 1e-9
-            self.mu = (r.T @ z) / n[:, None]
-            for j in range(k):
-                y = z - self.mu[j]
-                self.cov[j] = (r[:, j, None] * y).T @ y / n[j] + 0.02 * np.eye(d)
-            self.weight = n / n.sum()
-            if abs(total.mean() - before) < 1e-4:
+        for _ in range(SEED_ROUNDS):
+            sums, gain = self.sums(x)
+            self.update(sums, len(x), known)
+            if abs(gain / max(1, len(x)) - before) < 1e-4:
                 break
-            before = total.mean()
-        # each component gets the class of most of the inspected examples nearest to its mean; statistics
-        # count by how well they part the classes of the examples
-        e = z[: len(known)]
+            before = gain / max(1, len(x))
+        return self
+
+    def fit(self, x: np.ndarray, known: np.ndarray, label: np.ndarray) -> Mixture:
+        """The mixture of rows held in memory."""
+        return self.start(known, label, x).name(known, label)
+
+    def set(self, mu: np.ndarray, cov: np.ndarray, weight: np.ndarray) -> None:
+        """Take parameters, and the coefficients of each component's log density over :func:`_squares`."""
+        self.mu, self.cov, self.weight = mu, cov, weight
+        d = mu.shape[1]
+        i, j = np.triu_indices(d)
+        inverse = np.linalg.inv(cov)
+        quad = -0.5 * inverse[:, i, j] * np.where(i == j, 1, 2)
+        line = np.einsum("kab,kb->ka", inverse, mu)
+        one = np.log(weight + 1e-300) - 0.5 * np.einsum("ka,ka->k", line, mu) - 0.5 * np.linalg.slogdet(cov)[1]
+        self.linear = np.concatenate([one[:, None], line, quad], axis=1).T
+
+    def shares(self, squares: np.ndarray) -> tuple[np.ndarray, float]:
+        """Each row's share of each component, and the sum of log likelihoods."""
+        log = squares @ self.linear
+        top = log.max(axis=1, keepdims=True)
+        p = np.exp(log - top)
+        total = p.sum(axis=1, keepdims=True)
+        return p / total, float((top + np.log(total)).sum())
+
+    def sums(self, x: np.ndarray) -> tuple[np.ndarray, float]:
+        """The expectation step: sums of shares times :func:`_squares`, and of log likelihoods."""
+        total, gain = np.zeros_like(self.linear.T), 0.0
+        for a in range(0, len(x), 8192):
+            q = _squares((x[a : a + 8192] - self.mean) / self.scale)
+            r, g = self.shares(q)
+            total += r.T @ q
+            gain += g
+        return total, gain
+
+    def update(self, sums: np.ndarray, n: int, known: np.ndarray) -> None:
+        """The maximization step. The inspected examples together weigh a fixed share, so that they
+        hold components in place."""
+        own, _ = self.sums(known)
+        sums = sums + own * max(1.0, ANCHOR * n / len(known))
+        d = self.mu.shape[1]
+        weight = sums[:, 0] + 1e-9
+        mu = sums[:, 1 : d + 1] / weight[:, None]
+        i, j = np.triu_indices(d)
+        cov = np.empty((len(mu), d, d))
+        cov[:, i, j] = cov[:, j, i] = sums[:, d + 1 :] / weight[:, None] - mu[:, i] * mu[:, j]
+        values, axes = np.linalg.eigh(cov)  # sums are rounded; keep it a covariance
+        cov = np.einsum("kab,kb,kcb->kac", axes, np.maximum(values, 0), axes) + 0.02 * np.eye(d)
+        self.set(mu, cov, weight / weight.sum())
+
+    def name(self, known: np.ndarray, label: np.ndarray) -> Mixture:
+        """Each component gets the class of most of the inspected examples nearest to its mean; statistics
+        count by how well they part the classes of the examples."""
+        e = (known - self.mean) / self.scale
         within = np.mean([e[label == c].var(axis=0) for c in range(len(CLASSES))], axis=0) + 0.05
         between = np.var([e[label == c].mean(axis=0) for c in range(len(CLASSES))], axis=0)
         gap = (((self.mu[:, None, :] - e[None]) ** 2) * (between / within)).sum(axis=2)
@@ -258,20 +310,11 @@ class Mixture:
         self.kind = np.array([np.bincount(x, minlength=len(CLASSES)).argmax() for x in nearest])
         return self
 
-    def _log(self, z: np.ndarray) -> np.ndarray:
-        out = np.empty((len(z), len(self.mu)))
-        for j in range(len(self.mu)):
-            chol = np.linalg.cholesky(self.cov[j])
-            y = np.linalg.solve(chol, (z - self.mu[j]).T)
-            out[:, j] = np.log(self.weight[j] + 1e-300) - 0.5 * (y * y).sum(axis=0) - np.log(np.diag(chol)).sum()
-        return out
-
     def classes(self, x: np.ndarray) -> np.ndarray:
         """The most probable class of each row."""
         if not len(x):
             return np.empty(0, np.int64)
-        log = self._log((x - self.mean) / self.scale)
-        p = np.exp(log - log.max(axis=1, keepdims=True))
+        p, _ = self.shares(_squares((x - self.mean) / self.scale))
         by = np.stack([p[:, self.kind == c].sum(axis=1) for c in range(len(CLASSES))], axis=1)
         # prose must hold a finished sentence, whatever else it looks like
         by[x[:, FEATURES.index("running")] == 0, 0] = 0
@@ -295,29 +338,91 @@ def _common(words: DataFrame) -> frozenset[str]:
     return frozenset(r[0].lower() for r in words.where("word is not null").select("word").collect())
 
 
-def fit(documents: DataFrame, words: DataFrame, key: str = "doc_id") -> tuple[Mixture, frozenset[str]]:
-    """The mixture, fitted on the bounded sample."""
-    common = _common(words)
-    known, label = examples(common)
-    n = documents.count()
-    share = max(1, -(-n // FIT_DOCUMENTS))
-    sample = documents.where(F.pmod(F.xxhash64(key), F.lit(share)) == 0).where(F.length("text") > 0)
-    each = max(1, FIT_SEGMENTS // FIT_DOCUMENTS)
+_COUNTS = ("chars", "words", "letters", "digits", "known")
+
+
+def measured(documents: DataFrame, common: frozenset[str], key: str) -> DataFrame:
+    """``key``, counts, the share of lines that end in punctuation, and for the document's segments
+    their characters ``sizes`` (int32) and statistics ``x`` (float32), written once."""
+    kind = documents.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for t in b.column(0).to_pylist():
-                parts = list(segments(t))
-                step = max(1, len(parts) // each)
-                rows += [measure(p, common)[1] for p in parts[::step][:each]]
-            yield pa.record_batch([pa.array(rows, pa.list_(pa.float64()))], names=["x"])
+            ends, totals, sizes, rows = [], [], [], []
+            for t in b.column(1).to_pylist():
+                counts, x = [], []
+                end = 0.0
+                if t and not t.isspace():
+                    lines = [y[-1] for y in map(str.rstrip, t.splitlines()) if y]
+                    end = sum(map(".!?:;,。！？…".__contains__, lines)) / max(1, len(lines))
+                    for part in segments(t):
+                        n, y = measure(part, common)
+                        counts.append(n)
+                        x.append(y)
+                ends.append(end)
+                n = np.array(counts, np.int64).reshape(-1, len(_COUNTS))
+                totals.append(n.sum(axis=0))
+                sizes.append(n[:, 0].astype(np.int32).tobytes())
+                rows.append(np.array(x, np.float32).tobytes())
+            total = np.array(totals, np.int64).reshape(-1, len(_COUNTS)).T
+            cols = [b.column(0), *map(pa.array, total), pa.array(ends, pa.float64()), pa.array(sizes, pa.binary()), pa.array(rows, pa.binary())]
+            yield pa.record_batch(cols, names=[key, *_COUNTS, "ends", "sizes", "x"])
+
+    schema = f"{key} {kind}, " + ", ".join(f"{c} long" for c in _COUNTS) + ", ends double, sizes binary, x binary"
+    return cut(documents.select(key, "text").mapInArrow(run, schema))
+
+
+def _rows(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, len(FEATURES)).astype(np.float64)
+
+
+def _added(held: DataFrame, sums) -> np.ndarray:
+    """The sum over all segments of the vector that ``sums`` gives for some of them: one row for
+    each number and task, then one aggregation; its length is that of the vector."""
 
-    x = np.array([r[0] for r in sample.select("text").mapInArrow(run, "x array<double>").limit(FIT_SEGMENTS).collect()]).reshape(-1, len(FEATURES))
-    x = x[np.lexsort(x.T)]  # the order in which tasks end must not matter
-    both = np.concatenate([known, x])
-    model = Mixture(both.mean(axis=0), both.std(axis=0) + 1e-6)
-    return model.fit(x, known, label), common
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            part = sums(_rows(b.column(0)))
+            total = part if total is None else total + part
+        if total is not None:
+            yield pa.record_batch([pa.array(np.arange(len(total))), pa.array(np.rint(total / GRAIN).astype(np.int64))], names=["k", "v"])
+
+    got = {r[0]: r[1] for r in held.select("x").mapInArrow(run, "k long, v long").groupBy("k").agg(F.sum("v")).collect()}
+    return np.array([got[k] for k in range(len(got))]) * GRAIN
+
+
+def fit(held: DataFrame, known: np.ndarray, label: np.ndarray, key: str) -> Mixture:
+    """The mixture of all segments of :func:`measured`."""
+    d = len(FEATURES)
+    held = held.where(F.length("x") > 0)
+    first = _added(held, lambda x: np.concatenate([[len(x)], x.sum(axis=0), (x * x).sum(axis=0)]))
+    n = int(round(first[0])) if len(first) else 0
+    both = n + len(known)
+    mean = (known.sum(axis=0) + (first[1 : d + 1] if n else 0)) / both
+    square = ((known * known).sum(axis=0) + (first[d + 1 :] if n else 0)) / both
+    scale = np.sqrt(np.maximum(square - mean * mean, 0)) + 1e-6
+    some = [np.frombuffer(r[0], np.float32).reshape(-1, d) for r in held.orderBy(F.xxhash64(key), "x").limit(SEED_DOCUMENTS).select("x").collect()]
+    each = SEED_SEGMENTS // SEED_DOCUMENTS
+    some = [x[:: max(1, len(x) // each)][:each].astype(np.float64) for x in some]
+    model = Mixture(mean, scale).start(known, label, np.concatenate(some) if some else known)
+    before = -np.inf
+    for _ in range(ROUNDS if n else 0):
+        now = model
+
+        def step(x: np.ndarray, now=now) -> np.ndarray:
+            total, gain = now.sums(x)
+            return np.append(total.ravel(), gain)
+
+        total = _added(held, step)
+        model = Mixture(mean, scale)
+        model.set(now.mu, now.cov, now.weight)
+        model.update(total[:-1].reshape(now.linear.T.shape), n, known)
+        gain = total[-1] / n
+        if gain - before < GAIN:
+            break
+        before = gain
+    return model.name(known, label)
 
 
 _SCHEMA = "words long, mean_word_length double, symbol_share double, punctuated_lines double, common_share double, prose_share double, label string"
@@ -330,41 +435,30 @@ def statistics(documents: DataFrame, words: DataFrame, key: str = "doc_id") -> D
     ``label`` is the class that holds most characters, 'prose' if more than half are prose. Null,
     empty and blank texts have no words, shares of 0 and the label 'empty'.
     """
-    model, common = fit(documents, words, key)
+    common = _common(words)
+    known, label = examples(common)
+    held = measured(documents, common, key)
+    model = fit(held, known, label, key)
     kind = documents.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1).to_pylist()
-            counts, rows, owner = [], [], []
-            ends = np.zeros(len(texts))
-            for i, t in enumerate(texts):
-                if not t or t.isspace():
-                    continue
-                lines = [x[-1] for x in map(str.rstrip, t.splitlines()) if x]
-                ends[i] = sum(map(".!?:;,。！？…".__contains__, lines)) / max(1, len(lines))
-                for part in segments(t):
-                    n, x = measure(part, common)
-                    counts.append(n)
-                    rows.append(x)
-                    owner.append(i)
-            by = np.zeros((len(texts), len(CLASSES)))
-            total = np.zeros((len(texts), 5))
-            if rows:
-                n = np.array(counts, float)
-                np.add.at(by, (np.array(owner), model.classes(np.array(rows))), n[:, 0])
-                np.add.at(total, np.array(owner), n)
-            size, words_, letters, digits, known = total.T
-            some, word = np.maximum(size, 1), np.maximum(words_, 1)
+            chars, words_, letters, digits, common_, ends = (b.column(k).to_numpy() for k in range(1, 7))
+            parts = [np.frombuffer(x, np.int32) for x in b.column(7).to_pylist()]
+            by = np.zeros((b.num_rows, len(CLASSES)))
+            owner = np.repeat(np.arange(b.num_rows), [len(x) for x in parts])
+            if len(owner):
+                np.add.at(by, (owner, model.classes(_rows(b.column(8)))), np.concatenate(parts))
+            some, word = np.maximum(chars, 1), np.maximum(words_, 1)
             share = by[:, 0] / some
-            label = ["empty" if not n else "prose" if s > 0.5 else CLASSES[int(c.argmax())] if c.argmax() else "mixed" for n, s, c in zip(size, share, by, strict=True)]
-            stats = [letters / word, (size - letters - digits) / some, ends, known / word, share]
+            names = ["empty" if not n else "prose" if s > 0.5 else CLASSES[int(c.argmax())] if c.argmax() else "mixed" for n, s, c in zip(chars, share, by, strict=True)]
+            stats = [letters / word, (chars - letters - digits) / some, ends, common_ / word, share]
             yield pa.record_batch(
-                [b.column(0), pa.array(words_.astype(np.int64)), *(pa.array(np.round(c, 6)) for c in stats), pa.array(label, pa.string())],
+                [b.column(0), b.column(2), *(pa.array(np.round(c, 6)) for c in stats), pa.array(names, pa.string())],
                 names=[key, *(x.split()[0] for x in _SCHEMA.split(", "))],
             )
 
-    return documents.select(key, "text").mapInArrow(run, f"{key} {kind}, {_SCHEMA}")
+    return held.select(key, *_COUNTS, "ends", "sizes", "x").mapInArrow(run, f"{key} {kind}, {_SCHEMA}")
 
 
 def found(documents: DataFrame, words: DataFrame) -> DataFrame:

@@ -277,3 +277,27 @@ def test_an_index_over_its_bound_is_built_in_halves(spark):
     d = spark.createDataFrame([(1, items[3][1]), (2, "nothing here")], "doc_id long, text string")
     i = spark.createDataFrame(items, "item_id long, text string")
     assert {tuple(r) for r in leakage.leaks(d, i, most=whole // 3).collect()} == {tuple(r) for r in leakage.leaks(d, i).collect()} >= {(1, 3)}
+
+
+def test_the_mixture_of_all_segments_does_not_depend_on_their_partition(spark, sf):
+    common = spark.read.parquet(f"{sf}/common_words.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    one, many = ({r.doc_id: r.label for r in prose.statistics(docs.repartition(n), common).collect()} for n in (1, 7))
+    assert one == many and {"prose", "code", "list", "table"} <= set(one.values())
+
+
+def test_expectation_sums_equal_the_plain_densities():
+    rng = np.random.default_rng(3)
+    d = len(prose.FEATURES)
+    x = rng.normal(size=(500, d)) @ rng.normal(size=(d, d)) / 3
+    model = prose.Mixture(np.zeros(d), np.ones(d))
+    cov = np.array([np.cov(rng.normal(size=(40, d)).T) + 0.1 * np.eye(d) for _ in range(4)])
+    mu, weight = rng.normal(size=(4, d)), np.array([0.1, 0.2, 0.3, 0.4])
+    model.set(mu, cov, weight)
+    log = np.stack([np.log(w) - 0.5 * np.einsum("ia,ab,ib->i", x - m, np.linalg.inv(c), x - m) - 0.5 * np.linalg.slogdet(c)[1] for m, c, w in zip(mu, cov, weight, strict=True)], axis=1)
+    p = np.exp(log - log.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    got, _ = model.shares(prose._squares(x))
+    assert np.allclose(got, p)
+    sums, _ = model.sums(x)
+    assert np.allclose(sums[:, 0], p.sum(axis=0)) and np.allclose(sums[:, 1 : d + 1], p.T @ x)
