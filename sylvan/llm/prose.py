@@ -402,9 +402,17 @@ def fit(held: DataFrame, known: np.ndarray, label: np.ndarray, key: str) -> Mixt
     mean = (known.sum(axis=0) + (first[1 : d + 1] if n else 0)) / both
     square = ((known * known).sum(axis=0) + (first[d + 1 :] if n else 0)) / both
     scale = np.sqrt(np.maximum(square - mean * mean, 0)) + 1e-6
-    some = [np.frombuffer(r[0], np.float32).reshape(-1, d) for r in held.orderBy(F.xxhash64(key), "x").limit(SEED_DOCUMENTS).select("x").collect()]
+    hashed = held.select(F.xxhash64(key).alias("h"), "x")
+    last = hashed.select("h").orderBy("h").limit(SEED_DOCUMENTS).agg(F.max("h")).first()[0]
     each = SEED_SEGMENTS // SEED_DOCUMENTS
-    some = [x[:: max(1, len(x) // each)][:each].astype(np.float64) for x in some]
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            every = [np.frombuffer(v, np.float32).reshape(-1, d) for v in b.column(1).to_pylist()]
+            yield pa.record_batch([b.column(0), pa.array([x[:: max(1, len(x) // each)][:each].tobytes() for x in every], pa.binary())], names=["h", "x"])
+
+    sample = sorted((r[0], bytes(r[1])) for r in hashed.where(F.col("h") <= F.lit(last)).mapInArrow(thin, "h long, x binary").collect())
+    some = [np.frombuffer(x, np.float32).reshape(-1, d).astype(np.float64) for _, x in sample]
     model = Mixture(mean, scale).start(known, label, np.concatenate(some) if some else known)
     before = -np.inf
     for _ in range(ROUNDS if n else 0):
