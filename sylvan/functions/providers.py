@@ -6,7 +6,12 @@ deterministic, so that pipelines run and can be checked without one.
 
 from __future__ import annotations
 
+import importlib.util
+import json
+import os
 import time
+import urllib.request
+import warnings
 import zlib
 from collections.abc import Callable, Iterator
 from typing import Protocol, runtime_checkable
@@ -35,6 +40,11 @@ class Summarizer(Protocol):
     def summarize(self, text: Column) -> Column: ...
 
 
+@runtime_checkable
+class Verifier(Protocol):
+    def verify(self, summary: Column, source: Column) -> Column: ...
+
+
 @runtime_checkable
 class Client(Protocol):
     """A language model: one prompt in, one reply out (a string, a list of parts, or else)."""
@@ -74,6 +84,72 @@ def embedder(load: Callable[[], Callable[[list[str]], list]] | None = None, batc
     return embed
 
 
+def sentence_encoder(model: str, batch: int = 32) -> Callable[[], Callable[[list[str]], list]]:
+    """A loader for :func:`embedder`: the named sentence model, taken from the local model cache. It
+    needs the sentence-transformers package on every executor and raises where that is missing."""
+
+    def load() -> Callable[[list[str]], list]:
+        try:
+            from sentence_transformers import SentenceTransformer
+        except ImportError:
+            raise RuntimeError(f"embedding model {model!r} needs the sentence-transformers package") from None
+        encoder = SentenceTransformer(model)
+        return lambda texts: list(encoder.encode(texts, batch_size=batch))
+
+    return load
+
+
+def embedder_of(model: str, batch: int = 32) -> Callable[[Column], Column]:
+    """The embedder of a model name. Where no sentence model can be loaded (the package is missing, or
+    the name is 'mock-model') vectors are hashed, in the former case with a warning."""
+    if model == "mock-model":
+        return embedder(batch=batch)
+    if importlib.util.find_spec("sentence_transformers") is None:
+        warnings.warn(f"{model} needs the sentence-transformers package; texts are embedded by hashing", stacklevel=2)
+        return embedder(batch=batch)
+    return embedder(sentence_encoder(model, batch), batch)
+
+
+#: Where chat models are asked, and the variables that name the key and another address.
+BASE_URL, KEY_VARIABLE, URL_VARIABLE = "https://openrouter.ai/api/v1", "OPENROUTER_API_KEY", "OPENROUTER_BASE_URL"
+
+
+def api_key() -> str | None:
+    """The key of the environment; blank means none. Read where a client is made, never put into a plan."""
+    return os.environ.get(KEY_VARIABLE, "").strip() or None
+
+
+def base_url() -> str:
+    return (os.environ.get(URL_VARIABLE, "").strip() or BASE_URL).rstrip("/")
+
+
+class ChatClient:
+    """A model behind a chat-completion interface over HTTP."""
+
+    def __init__(self, model: str, temperature: float = 0.0, max_tokens: int | None = None, timeout: float = 60.0):
+        self.model, self.temperature, self.max_tokens, self.timeout = model, temperature, max_tokens, timeout
+        self.key, self.url = api_key(), base_url()
+        if self.key is None:
+            raise SummarizationError(f"LLM not initialized: {KEY_VARIABLE} is not set")
+
+    def complete(self, prompt: str) -> object:
+        body = {"model": self.model, "messages": [{"role": "user", "content": prompt}], "temperature": self.temperature}
+        if self.max_tokens:
+            body["max_tokens"] = self.max_tokens
+        headers = {"Authorization": f"Bearer {self.key}", "Content-Type": "application/json"}
+        request = urllib.request.Request(f"{self.url}/chat/completions", json.dumps(body).encode(), headers)
+        with urllib.request.urlopen(request, timeout=self.timeout) as reply:
+            return json.load(reply)["choices"][0]["message"]["content"]
+
+
+def chat_model(model: str, temperature: float = 0.0, max_tokens: int | None = None, attempts: int = 3) -> Callable[[Column], Column] | None:
+    """A column function from prompts to a model's replies, None for 'mock-model' (the deterministic
+    one). Executors read the key from their own environment."""
+    if model == "mock-model":
+        return None
+    return language_model(lambda: ChatClient(model, temperature, max_tokens), attempts)
+
+
 def reply_text(reply: object) -> str:
     """A model's reply as text: strings as they are, lists joined by blanks, anything else spelled out."""
     if isinstance(reply, str):

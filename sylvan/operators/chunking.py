@@ -7,8 +7,6 @@ their accumulator at every step); texts never leave the JVM for it.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,16 +50,12 @@ def _pack_column(lengths: Column, limit: int, breaks: Column | None = None) -> C
 
 def _merge(groups: DataFrame) -> DataFrame:
     """``doc_id, s (sentences), g (their groups)`` to chunks with running offsets."""
-    n = F.element_at("g", -1) + 1
-    text = F.transform(
-        F.sequence(F.lit(0), n - 1), lambda i: F.array_join(F.transform(F.filter(F.arrays_zip("s", "g"), lambda x: x["g"] == i), lambda x: x["s"]), "")
-    )
     rows = groups.where(F.size("s") > 0)
-    short = rows.where(F.size("s") <= 400).select("doc_id", F.posexplode(text).alias("index", "text"))
-    # the filter above passes over the sentences once for each chunk; long documents are grouped instead
-    flat = rows.where(F.size("s") > 400).select("doc_id", F.posexplode(F.arrays_zip("s", "g")).alias("pos", "x"))
-    long = flat.groupBy("doc_id", F.col("x.g").alias("index")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.col("x.s").alias("s")))), lambda x: x["s"]), "").alias("text"))
-    chunks = short.union(long)
+    # groups are runs, so each is a slice between two places where the number changes
+    first = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: (i == 0) | (F.get("g", i) != F.get("g", i - 1)))
+    runs = rows.withColumn("first", first).withColumn("last", F.concat(F.slice("first", F.lit(2), F.size("first")), F.array(F.size("s"))))
+    text = F.transform(F.arrays_zip("first", "last"), lambda x: F.array_join(F.slice("s", x["first"] + 1, x["last"] - x["first"]), ""))
+    chunks = runs.select("doc_id", F.posexplode(text).alias("index", "text"))
     w = Window.partitionBy("doc_id").orderBy("index").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.length("text")).over(w)
     return chunks.select("doc_id", "index", "text", (end - F.length("text")).cast("int").alias("start_char_idx"), end.cast("int").alias("end_char_idx"))
@@ -78,35 +72,23 @@ def token_chunks(docs: DataFrame, max_tokens: int = 500, normalized: bool = True
     return _merge(rows.withColumn("g", _pack_column(lengths, max_tokens)))
 
 
-@lru_cache(maxsize=4)
-def _encoder(path: str):
-    """The encoder of a rank file, made once in each worker."""
-    import base64
-
-    import tiktoken
-
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(x): int(y) for x, y in map(bytes.split, f)}
-    pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-    return tiktoken.Encoding("counter", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-
-
-def bpe_counter(path: str = "/opt/tokenizers/byte_bpe_50k.tiktoken") -> Column:
-    """Token counts of each sentence of ``s`` by a public rank file (special tokens as plain text)."""
-
-    @F.pandas_udf("array<int>")
-    def count(a: pd.Series) -> pd.Series:
-        enc = _encoder(path)
-        return a.map(lambda x: None if x is None else [len(enc.encode_ordinary(y)) for y in x])
-
-    return count(F.col("s"))
+def adjacent_distances(rows: DataFrame, key: str = "doc_id", order: str = "pos", vector: str = "embedding", strict: bool = False) -> DataFrame:
+    """``rows`` with ``distance``: the cosine distance of each vector to the one before it in its
+    document; null for the first, and where either is unusable or dimensions differ. With ``strict``
+    two vectors of different dimensions raise."""
+    w = Window.partitionBy(key).orderBy(order)
+    both = rows.withColumn("_before", F.lag(vector).over(w))
+    distance = V.cosine_distance(F.col("_before"), F.col(vector))
+    if strict:
+        distance = F.when(F.size("_before") != F.size(vector), F.raise_error(F.lit("Embeddings differ in dimension")).cast("double")).otherwise(distance)
+    return both.withColumn("distance", distance).drop("_before")
 
 
-def adjacent_distances(rows: DataFrame, key: str = "doc_id", order: str = "pos", vector: str = "embedding") -> DataFrame:
-    """``rows`` with ``distance``: the cosine distance of each vector to the one before it in its
-    document; null for the first, and where either is unusable or dimensions differ."""
+def dimension_violations(rows: DataFrame, key: str = "doc_id", order: str = "pos", vector: str = "embedding") -> DataFrame:
+    """``key, order, dims, before``: each vector whose dimension is not that of the one before it."""
     w = Window.partitionBy(key).orderBy(order)
-    return rows.withColumn("_before", F.lag(vector).over(w)).withColumn("distance", V.cosine_distance(F.col("_before"), F.col(vector))).drop("_before")
+    dims = rows.select(key, order, F.size(vector).alias("dims")).withColumn("before", F.lag("dims").over(w))
+    return dims.where("dims >= 0 and before >= 0 and dims <> before")
 
 
 def thresholds(rows: DataFrame, percentile: float = 90, key: str = "doc_id") -> DataFrame:
@@ -114,11 +96,11 @@ def thresholds(rows: DataFrame, percentile: float = 90, key: str = "doc_id") ->
     return rows.where("distance is not null").groupBy(key).agg(F.percentile("distance", F.lit(percentile / 100.0)).alias("threshold"), F.count("*").alias("gaps"))
 
 
-def semantic_chunks(rows: DataFrame, percentile: float = 90, max_chars: int = 500) -> DataFrame:
+def semantic_chunks(rows: DataFrame, percentile: float = 90, max_chars: int = 500, strict: bool = False) -> DataFrame:
     """Chunks of ``doc_id, pos, sentence, embedding``: a chunk ends where the distance to the next
     sentence is above the document's percentile (strictly), or where it would exceed ``max_chars``
     characters. One sentence makes one chunk whatever its length."""
-    d = adjacent_distances(rows)
+    d = adjacent_distances(rows, strict=strict)
     t = thresholds(d, percentile).select("doc_id", "threshold")
     marked = d.join(t, "doc_id", "left").select("doc_id", F.struct("pos", F.col("sentence").alias("s"), F.coalesce(F.col("distance") > F.col("threshold"), F.lit(False)).alias("b")).alias("x"))
     docs = marked.groupBy("doc_id").agg(F.sort_array(F.collect_list("x")).alias("x"))

@@ -1,23 +1,22 @@
 """Grouping of a level's nodes: routing by size, hard and soft assignment, mixture models.
 
-A group (one level of one document) within ``large`` nodes is fitted in one task; a larger one goes
-to the distributed PCA and k-means of the ML library, so no task holds an unbounded group.
+A group (one level of one document) within ``large`` nodes is fitted in one task; larger ones go, all
+of them together, through principal components and k-means made of sums by document, so no task
+holds an unbounded group and the driver sees none of them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sylvan.errors import ClusteringError
 from sylvan.functions import vectors as V
+from sylvan.session import cut, drop
 
 #: At most this many nodes form one cluster without a model.
 TRIVIAL = 5
@@ -143,7 +142,7 @@ def mixture_probabilities(x: np.ndarray, n_clusters: int | None = None, componen
     return fit_mixture(y, n_clusters or choose_k(y, seed), seed)[0]
 
 
-def mixture(rows: DataFrame, n_clusters: int | None = None, seed: int = 42, large: int = 20_000) -> DataFrame:
+def mixture(rows: DataFrame, n_clusters: int | None = None, seed: int = 42, large: int = 20_000, components: int = 2) -> DataFrame:
     """``doc_id, ord, probabilities`` for ``doc_id, ord, embedding``: groups within :data:`TRIVIAL` get one
     certain cluster, others a mixture over their principal components. Unusable vectors raise."""
     if not check_vectors(rows).where("not usable").isEmpty():
@@ -154,24 +153,95 @@ def mixture(rows: DataFrame, n_clusters: int | None = None, seed: int = 42, larg
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ord")
         x = np.array(pdf["embedding"].tolist(), dtype=np.float64)
-        p = np.ones((len(x), 1)) if len(x) <= TRIVIAL else mixture_probabilities(x, n_clusters, seed=seed)
+        p = np.ones((len(x), 1)) if len(x) <= TRIVIAL else mixture_probabilities(x, n_clusters, components, seed)
         return pd.DataFrame({"doc_id": pdf["doc_id"], "ord": pdf["ord"], "probabilities": list(p)})
 
     small = fit.groupBy("doc_id").applyInPandas(run, "doc_id long, ord int, probabilities array<double>")
-    for row in sizes.where(F.col("n") > large).select("doc_id").toLocalIterator():  # few documents are that large
-        labels = pca_kmeans(rows.where(F.col("doc_id") == row[0]), n_clusters, seed=seed)
-        k = F.max("label").over(Window.partitionBy("doc_id")) + 1
-        hot = labels.select("doc_id", "ord", F.transform(F.sequence(F.lit(0), k - 1), lambda i: (i == F.col("label")).cast("double")).alias("probabilities"))
-        small = small.union(hot)
-    return small
+    big = sizes.where(F.col("n") > large).select("doc_id")
+    if big.isEmpty():
+        return small
+    labels = pca_kmeans(rows.join(big, "doc_id", "left_semi"), n_clusters, components, seed)
+    k = labels.groupBy("doc_id").agg((F.max("label") + 1).alias("k"))
+    one = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda i: (i == F.col("label")).cast("double"))
+    return small.union(labels.join(k, "doc_id").select("doc_id", "ord", one.alias("probabilities")))
+
+
+#: Rounds of k-means at most, and points of a document that its first centres are chosen from.
+KMEANS_ROUNDS, START_POINTS = 20, 256
+
+
+def _moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of each document in a batch: its rows, and as arrays their sum and the sum of their products by pairs."""
+    for pdf in batches:
+        out = []
+        for doc, part in pdf.groupby("doc_id"):
+            x = np.array(part["embedding"].tolist(), np.float64)
+            out.append((doc, len(x), np.concatenate([x.sum(axis=0), (x.T @ x).ravel()])))
+        yield pd.DataFrame(out, columns=["doc_id", "n", "sums"])
+
+
+def _principal(components: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """A document's mean and first components, from its summed moments."""
+        v = pdf.sort_values("pos")["v"].to_numpy()
+        d = int(np.sqrt(len(v) + 0.25))
+        n = pdf["n"].iloc[0]
+        mean = v[:d] / n
+        values, axes = np.linalg.eigh(v[d:].reshape(d, d) / n - np.outer(mean, mean))
+        axes = axes[:, np.argsort(-values, kind="stable")[:components]].T
+        axes *= np.sign(axes[np.arange(len(axes)), np.abs(axes).argmax(axis=1)])[:, None]
+        return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[:1], "n": [n], "mean": [mean.tolist()], "axes": [axes.tolist()]})
+
+    return run
+
+
+def _first_centres(n_clusters: int | None, seed: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Far points of a bounded number of a document's, the first centres of its clusters."""
+        x = np.array(pdf.sort_values("salt")["y"].tolist())
+        n = int(pdf["n"].iloc[0])
+        k = n_clusters or max(1, min(int(n**0.5), 50))
+        rng = np.random.default_rng(seed)
+        centre = [x[0]]
+        while len(centre) < k:
+            gap = np.min([((x - c) ** 2).sum(axis=1) for c in centre], axis=0)
+            if gap.sum() == 0:
+                break
+            centre.append(x[rng.choice(len(x), p=gap / gap.sum())])
+        return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[:1], "centres": [[c.tolist() for c in centre]]})
+
+    return run
 
 
 def pca_kmeans(rows: DataFrame, n_clusters: int | None = None, components: int = 2, seed: int = 42) -> DataFrame:
-    """``doc_id, ord, label``: the approximate way for many nodes; k is min(sqrt(n), 50) if not given."""
-    n = rows.count()
-    k = n_clusters or max(1, min(int(n**0.5), 50))
-    x = rows.select("doc_id", "ord", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
-    y = PCA(k=components, inputCol="v", outputCol="features").fit(x).transform(x).select("doc_id", "ord", "features")
-    if k < 2:
-        return y.select("doc_id", "ord", F.lit(0).alias("label"))
-    return KMeans(k=k, seed=seed, featuresCol="features", predictionCol="label").fit(y).transform(y).select("doc_id", "ord", "label")
+    """``doc_id, ord, label`` of ``doc_id, ord, embedding``, all documents at once: the approximate way
+    for many nodes; k is min(sqrt(n), 50) if not given (fewer where points coincide).
+
+    Moments, centres and counts are sums by document, combined before each shuffle; a document's
+    own state is its covariance and its centres. Labels are without gaps."""
+    some = rows.select("doc_id", "ord", "embedding")
+    part = some.mapInPandas(_moments, "doc_id long, n long, sums array<double>")
+    sums = part.select("doc_id", F.posexplode("sums").alias("pos", "v")).groupBy("doc_id", "pos").agg(F.sum("v").alias("v"))
+    count = part.groupBy("doc_id").agg(F.sum("n").alias("n"))
+    basis = sums.join(count, "doc_id").groupBy("doc_id").applyInPandas(_principal(components), "doc_id long, n long, mean array<double>, axes array<array<double>>")
+    y = F.transform("axes", lambda a: F.aggregate(F.zip_with(a, F.zip_with("embedding", "mean", lambda e, m: e - m), lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v))
+    points = cut(some.join(basis, "doc_id").select("doc_id", "ord", "n", y.alias("y")))
+    salt = F.pmod(F.xxhash64(F.lit(seed), "ord"), F.lit(START_POINTS)).alias("salt")
+    start = points.groupBy("doc_id", salt).agg(F.min_by("y", "ord").alias("y"), F.first("n").alias("n"))
+    centres = cut(start.groupBy("doc_id").applyInPandas(_first_centres(n_clusters, seed), "doc_id long, centres array<array<double>>"))
+
+    def nearest(centres: DataFrame) -> DataFrame:
+        gap = F.transform("centres", lambda c: F.aggregate(F.zip_with(c, "y", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v))
+        both = points.join(centres, "doc_id").withColumn("gap", gap)
+        return both.select("doc_id", "ord", "y", (F.array_position("gap", F.array_min("gap")) - 1).cast("int").alias("label"))
+
+    for _ in range(KMEANS_ROUNDS):
+        own = nearest(centres).groupBy("doc_id", "label").agg(F.array(*[F.avg(F.get("y", i)) for i in range(components)]).alias("c"))
+        grown = own.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("label", "c"))), lambda s: F.filter(s["c"], lambda v: v.isNotNull())).alias("centres"))
+        moved = cut(grown)
+        done = moved.join(centres.withColumnRenamed("centres", "before"), "doc_id").where("centres <> before").isEmpty()
+        drop(centres)
+        centres = moved
+        if done:
+            break
+    return nearest(centres).select("doc_id", "ord", "label")

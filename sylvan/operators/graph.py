@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sylvan.session import cut
+from sylvan.session import cut, drop
 
 #: Edges of one weak component that one task may hold; larger components go the fully distributed way.
 COMPONENT_EDGES = 200_000
@@ -78,8 +78,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         nxt = cut(small.select("x.a", "x.b").where("a <> b").distinct())
         # done when every vertex hangs on exactly one other and that one hangs on none
         if nxt.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").isEmpty() and nxt.join(nxt.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
+            drop(e)
             e = nxt
             break
+        drop(e)
         e = nxt
     else:
         raise RuntimeError("connected components did not converge")
@@ -236,12 +238,14 @@ def _colour(edges: DataFrame) -> DataFrame:
             break
         seed += 1
         nodes = e.select(F.col("s").alias("v")).union(e.select(F.col("d").alias("v"))).distinct()
-        colour = cut(nodes.select("v", F.struct(F.xxhash64(F.lit(seed), "v").alias("h"), F.col("v").alias("v")).alias("c")))
+        held = colour = cut(nodes.select("v", F.struct(F.xxhash64(F.lit(seed), "v").alias("h"), F.col("v").alias("v")).alias("c")))
         while True:
             push = e.join(colour, e["s"] == colour["v"]).groupBy(F.col("d").alias("v")).agg(F.max("c").alias("p"))
             nxt = cut(colour.join(push, "v", "left").select("v", F.greatest("c", F.coalesce("p", "c")).alias("c"), (F.coalesce("p", "c") > F.col("c")).alias("moved")))
-            colour = nxt.select("v", "c")
-            if nxt.where("moved").isEmpty():
+            moved = not nxt.where("moved").isEmpty()
+            drop(held)
+            held, colour = nxt, nxt.select("v", "c")
+            if not moved:
                 break
         cs, cd = colour.select(F.col("v").alias("s"), F.col("c").alias("cs")), colour.select(F.col("v").alias("d"), F.col("c").alias("cd"))
         inner = cut(e.join(cs, "s").join(cd, "d").where("cs = cd").select("s", "d", F.col("cs.v").alias("c")))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sylvan.operators.graph import nodes_on_cycles
-from sylvan.session import cut
+from sylvan.session import cut, drop
 
 #: Node numbers of one block; no task of a block-local step holds more nodes than this.
 BLOCK = 1 << 14
@@ -93,7 +93,8 @@ def _rank(arcs: DataFrame) -> DataFrame:
         rounds += 1
         up = cur.select(F.col("head").alias("prev"), F.col("prev").alias("prev2"), *(F.col(c).alias(f"{c}2") for c in sums), F.col("first").alias("first2"))
         grown = [(F.col(c) + F.coalesce(f"{c}2", F.lit(0))).alias(c) for c in sums]
-        cur = cut(cur.join(up, "prev", "left").select("head", F.col("prev2").alias("prev"), *grown, F.coalesce("first2", "first").alias("first")))
+        before, cur = cur, cut(cur.join(up, "prev", "left").select("head", F.col("prev2").alias("prev"), *grown, F.coalesce("first2", "first").alias("first")))
+        drop(before)
     whole = chains.join(cur.select("head", *sums, "first"), "head")
     return whole.select("arc", F.col("first").alias("list"), (F.col("at") + F.col("off")).alias("rank"), (F.col("x") + F.col("xoff")).alias("depth"), (F.col("y") + F.col("yoff")).alias("marks"))
 
@@ -216,7 +217,8 @@ def paths(nodes: DataFrame) -> DataFrame:
     while not cur.where("open").isEmpty():
         head = cur.select(F.col("v").alias("top"), F.col("top").alias("top2"), F.col("seg").alias("seg2"), F.col("open").alias("open2"))
         grown = cur.where("open").join(head, "top").select("v", F.col("top2").alias("top"), F.concat("seg2", "seg").alias("seg"), F.col("open2").alias("open"))
-        cur = cut(grown.union(cur.where("not open")))
+        before, cur = cur, cut(grown.union(cur.where("not open")))
+        drop(before)
     full = cut(cur.select(F.monotonically_increasing_id().alias("k"), "v", F.concat(F.array("top"), "seg").alias("p")))
     ids = vertex.select("v", "id")
     named = full.select("k", "v", F.posexplode("p").alias("pos", "n")).join(ids.withColumnRenamed("v", "n"), "n")
@@ -237,7 +239,8 @@ def closure(edges: DataFrame) -> DataFrame:
             return cur
         onward = cur.select(F.col("s").alias("m"), "d", F.col("distance").alias("more"))
         grown = far.select("s", F.col("d").alias("m")).join(onward, "m").groupBy("s", "d").agg((F.min("more") + reach).cast("int").alias("distance"))
-        cur = cut(cur.union(grown.join(cur.select("s", "d"), ["s", "d"], "left_anti").select("s", "d", "distance")))
+        before, cur = cur, cut(cur.union(grown.join(cur.select("s", "d"), ["s", "d"], "left_anti").select("s", "d", "distance")))
+        drop(before)
         reach *= 2
 
 

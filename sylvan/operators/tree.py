@@ -20,7 +20,6 @@ from sylvan.session import cut
 
 #: Takes nodes of one level, gives them back with ``cluster_id``, a node once for each of its clusters.
 Clusterer = Callable[[DataFrame], DataFrame]
-MAX_LEVELS = 40
 
 
 def summary_id(doc: Column, level: int, cluster: Column) -> Column:
@@ -44,14 +43,15 @@ def build(leaves: DataFrame, cluster: Clusterer | None = None, summarize: Callab
     )
     cur = cut(base)
     levels, stopped = [cur], []
-    for level in range(1, MAX_LEVELS):
-        if level > 1 and cur.where("n > 1").isEmpty():
-            break
+    level = 0
+    # a document goes on only while its level has fewer nodes than the one below, so the levels end
+    while level == 0 or not cur.where("n > 1").isEmpty():
+        level += 1
         members = cluster(cur.where("n > 1").select("doc_id", "ord", "node_id", "is_leaf", "text", "n"))
         one = F.struct("ord", "node_id", "is_leaf", F.coalesce("text", F.lit("")).alias("text"))
         groups = cut(members.groupBy("doc_id", "cluster_id").agg(F.sort_array(F.collect_list(one)).alias("x"), F.first("n").alias("n")))
         per_doc = groups.groupBy("doc_id").agg(F.count("*").alias("k"), F.max("cluster_id").alias("last"))
-        g = groups.join(per_doc, "doc_id").withColumn("same", F.col("k") == F.col("n"))
+        g = groups.join(per_doc, "doc_id").withColumn("same", F.col("k") >= F.col("n"))
         stopped.append(g.where(F.col("same") & (F.col("n") >= FORCE_BELOW)).select("doc_id").distinct())
         # cluster ids without gaps are the order; only where some are missing are they counted
         dense = F.col("last") + 1 == F.col("k")
@@ -88,7 +88,8 @@ def occurrences(nodes: DataFrame, edges: DataFrame, trees: DataFrame) -> DataFra
     places = [cur]
     for _ in range(depth):
         inner = cur.where("not is_leaf").select("doc_id", "path", F.col("node_id").alias("parent_id"))
-        cur = inner.join(edges, ["doc_id", "parent_id"]).select("doc_id", F.array_append("path", F.col("ord")).alias("path"), F.col("child_id").alias("node_id"), F.col("child_is_leaf").alias("is_leaf"))
+        down = inner.join(edges, ["doc_id", "parent_id"])
+        cur = cut(down.select("doc_id", F.array_append("path", F.col("ord")).alias("path"), F.col("child_id").alias("node_id"), F.col("child_is_leaf").alias("is_leaf")))
         places.append(cur)
     return reduce(DataFrame.union, places).withColumn("depth", F.size("path"))
 

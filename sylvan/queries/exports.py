@@ -10,7 +10,7 @@ from sylvan.plans import export
 from sylvan.queries.registry import query
 from sylvan.queries.sentences import strip_sql
 from sylvan.queries.trees import LEVELS, built, tree_sql
-from sylvan.session import cut
+from sylvan.session import cut, once
 
 PLACES_SQL = f"""{tree_sql()},
 places AS (
@@ -54,7 +54,7 @@ lines AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY path,
 
 def places(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     nodes, edges, trees = built(spark, d)
-    return cut(tree.occurrences(nodes, edges, trees)), nodes
+    return once(spark, f"{d}/chunks.parquet", "places", lambda: cut(tree.occurrences(nodes, edges, trees))), nodes
 
 
 @query("markdown_lines", f"{LINES_SQL} SELECT doc_id, line_no, md5(line) AS line_md5 FROM lines")

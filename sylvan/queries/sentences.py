@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sylvan.functions import text as T
+from sylvan.functions import tokenizers
 from sylvan.operators import chunking as C
 from sylvan.queries.registry import query
 from sylvan.session import table
@@ -105,7 +106,7 @@ def chunk_pipeline(spark: SparkSession, d: str) -> DataFrame:
 @query("chunk_bpe")
 def chunk_bpe(spark: SparkSession, d: str) -> DataFrame:
     """Packed by the tokens of a public vocabulary."""
-    return C.token_chunks(docs(spark, d), 200, counter=C.bpe_counter())
+    return C.token_chunks(docs(spark, d), 200, counter=tokenizers.counter("byte_bpe_50k"))
 
 
 @query(

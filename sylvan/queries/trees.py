@@ -10,7 +10,7 @@ from sylvan.operators import tree
 from sylvan.plans import verify
 from sylvan.queries.registry import query
 from sylvan.queries.sentences import mock_sql, strip_sql
-from sylvan.session import table
+from sylvan.session import cut, once, table
 
 #: Levels that the SQL unrolls: five to the sixth leaves of one document.
 LEVELS = 6
@@ -46,7 +46,13 @@ def leaves(spark: SparkSession, d: str) -> DataFrame:
 
 
 def built(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return tree.build(leaves(spark, d))
+    """Nodes, edges and trees over the chunks of ``d``, built once for each session and state of the
+    files, stored, and read from there by every query."""
+
+    def build() -> tuple[DataFrame, ...]:
+        return tuple(map(cut, tree.build(leaves(spark, d))))
+
+    return once(spark, f"{d}/chunks.parquet", "trees", build)
 
 
 @query("tree_levels", f"WITH {tree_sql()} SELECT doc_id, level, ord, node_id, md5(text) AS text_md5 FROM nodes")
@@ -79,15 +85,18 @@ def verify_pairs(spark: SparkSession, d: str) -> DataFrame:
     "root_sources",
     """WITH s AS (SELECT DISTINCT doc_id, id, children_indices FROM summary_nodes), k AS (SELECT DISTINCT id, unnest(children_indices) AS child FROM s),
   r AS (SELECT s.doc_id, s.id FROM s WHERE s.id NOT IN (SELECT child FROM k WHERE child IS NOT NULL)),
-  t AS (SELECT id, text FROM summary_nodes WHERE node_no IN (SELECT min(node_no) FROM summary_nodes GROUP BY id) GROUP BY 1, 2)
-  SELECT r.doc_id, r.id AS root_id, count(t.id)::BIGINT AS children, coalesce(sum(length(t.text)), 0)::BIGINT AS chars
-  FROM r LEFT JOIN k ON k.id = r.id LEFT JOIN t ON t.id = k.child GROUP BY 1, 2""",
+  t AS (SELECT id, text FROM summary_nodes WHERE node_no IN (SELECT min(node_no) FROM summary_nodes GROUP BY id) GROUP BY 1, 2),
+  c AS (SELECT doc_id, chunk_index::VARCHAR AS child, arg_min(coalesce(text, ''), node_no) AS text FROM chunks GROUP BY 1, 2)
+  SELECT r.doc_id, r.id AS root_id, count(coalesce(t.id, c.child))::BIGINT AS children, coalesce(sum(length(coalesce(t.text, c.text))), 0)::BIGINT AS chars
+  FROM r LEFT JOIN k ON k.id = r.id LEFT JOIN t ON t.id = k.child LEFT JOIN c ON c.doc_id = r.doc_id AND c.child = k.child GROUP BY 1, 2""",
 )
 def root_sources(spark: SparkSession, d: str) -> DataFrame:
-    """The stored roots and what there is to check them against."""
+    """The stored roots and what there is to check them against: child nodes and child chunks."""
     s = table(spark, d, "summary_nodes").where("id is not null")
     k = s.select("id", F.explode("children_indices").alias("child")).distinct()
     roots = s.select("doc_id", "id").distinct().join(k.select(F.col("child").alias("id")).where("id is not null").distinct(), "id", "left_anti")
     t = s.groupBy(F.col("id").alias("child")).agg(F.min_by("text", "node_no").alias("text")).withColumn("there", F.lit(1))
-    j = roots.join(k, "id", "left").join(t, "child", "left")
+    chunk = table(spark, d, "chunks").groupBy("doc_id", F.col("chunk_index").cast("string").alias("child")).agg(F.min_by(F.coalesce("text", F.lit("")), "node_no").alias("leaf"))
+    j = roots.join(k, "id", "left").join(t, "child", "left").join(chunk, ["doc_id", "child"], "left")
+    j = j.withColumn("text", F.coalesce("text", "leaf")).withColumn("there", F.coalesce("there", F.when(F.col("leaf").isNotNull(), 1)))
     return j.groupBy("doc_id", F.col("id").alias("root_id")).agg(F.count("there").alias("children"), F.coalesce(F.sum(F.length("text")), F.lit(0)).cast("long").alias("chars"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,11 +56,21 @@ def _session_dir(spark: SparkSession) -> str:
 
 def put(spark: SparkSession, name: str, data: bytes) -> str:
     """The path of a file with ``data`` in this session's folder."""
+    return write_file(spark, f"{_session_dir(spark)}/{name}", data)
+
+
+def write_file(spark: SparkSession, name: str, data: bytes) -> str:
+    """Write a small file to any file system that the cluster knows."""
     sc = spark.sparkContext
-    path = sc._jvm.org.apache.hadoop.fs.Path(f"{_session_dir(spark)}/{name}")
-    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path, True)
-    out.write(data)
-    out.close()
+    path = sc._jvm.org.apache.hadoop.fs.Path(name)
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    fs.setWriteChecksum(False)
+    try:
+        out = fs.create(path, True)
+        out.write(data)
+        out.close()
+    finally:
+        fs.setWriteChecksum(True)
     return path.toString()
 
 
@@ -69,7 +80,31 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{_session_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._sylvan_cut = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Delete what :func:`cut` wrote for ``df``, once nothing lazy is derived from it any more. A
+    DataFrame that is none of its results is left alone."""
+    path = getattr(df, "_sylvan_cut", None)
+    if path is not None:
+        sc = df.sparkSession.sparkContext
+        where = sc._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def once(spark: SparkSession, source: str, name: str, make: Callable[[], object]) -> object:
+    """What ``make`` gives, made once in a session for each state (time and size) of the source files."""
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(source)
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    state = (source, name, fs.getFileStatus(path).getModificationTime(), fs.getContentSummary(path).getLength())
+    held = sc.__dict__.setdefault("_sylvan_once", {})
+    if state not in held:
+        held[state] = make()
+    return held[state]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Trees, exports, verification, store, pipeline."""
 
+import io
 import json
 import os
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from sylvan import cli
 from sylvan.config import PipelineConfig
 from sylvan.errors import SummarizationError
-from sylvan.functions import providers
+from sylvan.functions import providers, tokenizers
 from sylvan.functions import text as T
 from sylvan.operators import clustering, store, tree
 from sylvan.plans import export, pipeline, verify
@@ -137,7 +138,7 @@ def test_pipeline_and_files(spark, tmp_path):
     (tmp_path / "in.txt").write_text(text, encoding="utf-8")
     assert cli.main(["run", str(tmp_path / "in.txt"), str(tmp_path / "out"), "--max-tokens", "120"]) == 0
     assert cli.main(["run", str(tmp_path / "missing.txt"), str(tmp_path / "out2")]) == 1
-    assert sorted(os.listdir(tmp_path / "out")) == ["canvas", "markdown", "store", "verification"]
+    assert sorted(os.listdir(tmp_path / "out")) == ["canvas", "markdown", "store", "summary_all.md", "summary_kj.canvas", "verification", "verification_result.json"]
     assert cli.main(["export", str(tmp_path / "out" / "store"), str(tmp_path / "again"), "--format", "markdown"]) == 0
     md = spark.read.json(str(tmp_path / "again" / "markdown")).first().markdown
     assert md.startswith("# Summary of ") and "Climate change is real." in md
@@ -147,7 +148,7 @@ def test_pipeline_and_files(spark, tmp_path):
 
 def test_pipeline_quarantines(spark):
     docs = spark.createDataFrame([(1, "文。" * 40), (2, None), (3, "x" * 500_001), (4, "   ")], "doc_id long, content string")
-    run = pipeline.build(docs, PipelineConfig(max_tokens=10), cluster=clustering.by_order(5))
+    run = pipeline.build(docs, PipelineConfig(tokenizer_model="characters", max_tokens=10), cluster=clustering.by_order(5))
     assert {r.doc_id: r.reason for r in run.rejected.collect()} == {2: "empty", 3: "too long"}
     assert [r.doc_id for r in run.trees.collect()] == [1]
     assert run.embeddings.count() == run.nodes.count()
@@ -157,11 +158,11 @@ def test_pipeline_quarantines(spark):
 
 def test_one_bad_character_or_word_does_not_blank_a_summary(spark):
     docs = spark.createDataFrame([(1, "Good words.\nSo\u00adft and\u200b zero.\nMore words."), (2, "First words.\n" + "y" * 1500), (3, "Plain words.\nAnd plain."), (4, "z" * 300 + "\n" + "z" * 300)], "doc_id long, content string")
-    run = pipeline.build(docs, PipelineConfig(max_tokens=10, max_input_length=500_000), cluster=clustering.by_order(5))
+    run = pipeline.build(docs, PipelineConfig(tokenizer_model="characters", max_tokens=10, max_input_length=500_000), cluster=clustering.by_order(5))
     text = {r.doc_id: r.text for r in run.nodes.where("not is_leaf").collect()}
     assert text[1] == "Summary of Good words.\n\nSoft an..." and text[2].startswith("Summary of First words.") and text[3].startswith("Summary of Plain")
     assert sorted((r.doc_id, r.node_id, r.reason) for r in run.problems.collect()) == [(1, "1", "control"), (2, "1", "long word")]
-    run = pipeline.build(docs.where("doc_id = 4"), PipelineConfig(max_tokens=10, max_input_length=601), cluster=clustering.by_order(5))
+    run = pipeline.build(docs.where("doc_id = 4"), PipelineConfig(tokenizer_model="characters", max_tokens=10, max_input_length=601), cluster=clustering.by_order(5))
     assert [(r.doc_id, r.reason) for r in run.problems.collect()] == [(4, "too long")]
     seen = spark.createDataFrame([("a\x1cb\ufeffc " + "w" * 2001,)], "t string").select(T.clean(F.col("t")).alias("t")).first().t
     assert seen == "a bc " + "w" * 1000 + " " + "w" * 1000 + " w"
@@ -189,3 +190,88 @@ def test_config(monkeypatch):
     assert PipelineConfig.high_precision().max_tokens == 200
     with pytest.raises(ValueError, match="unknown settings"):
         PipelineConfig.from_dict({"nothing": 1})
+
+
+def test_chunks_are_measured_by_the_tokenizer_of_the_settings(spark):
+    docs = spark.createDataFrame([(1, "The mill grinds corn all day.\n" * 8)], "doc_id long, content string")
+
+    def chunks(**settings):
+        return pipeline.build(docs, PipelineConfig(embedding_model="mock-model", **settings), cluster=clustering.by_order(5)).chunks.orderBy("index").collect()
+
+    enc = tokenizers.rank_file("/opt/tokenizers/byte_bpe_50k.tiktoken")
+    one = len(enc.encode_ordinary("The mill grinds corn all day."))
+    assert [len(r.text) for r in chunks(tokenizer_model="byte_bpe_50k", max_tokens=2 * one)] == [58] * 4
+    assert [len(r.text) for r in chunks(tokenizer_model="characters", max_tokens=60)] == [58] * 4
+    assert len(chunks(tokenizer_model="byte_bpe_50k", max_tokens=8 * one)) == 1
+    with pytest.raises(ValueError, match="tokenizer_model"):
+        PipelineConfig(tokenizer_model="nothing")
+    with pytest.raises(ValueError, match="unknown tokenizer"):
+        tokenizers.resolve("nothing")
+    with pytest.warns(UserWarning, match="not at hand"):
+        assert tokenizers.resolve("cl100k_base")[0] == "file"
+
+
+def test_canvas_and_verifier_settings(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "Climate change is real.\nSea levels are rising.\n")], "doc_id long, content string")
+    config = PipelineConfig(embedding_model="mock-model", tokenizer_model="characters", max_tokens=25, verifier_enabled=False, canvas_node_width=100, canvas_node_height=60, canvas_gap_x=10, canvas_gap_y=40)
+    pipeline.save(spark, pipeline.build(docs, config), str(tmp_path / "out"), config=config)
+    assert not {"verification", "verification_result.json"} & set(os.listdir(tmp_path / "out"))
+    file = json.loads((tmp_path / "out" / "summary_kj.canvas").read_text())
+    place = {(n["x"], n["y"]) for n in file["nodes"]}
+    assert {(n["width"], n["height"]) for n in file["nodes"]} == {(100, 60)} and place == {(-50, 0), (-105, 100), (5, 100)}
+    assert (tmp_path / "out" / "summary_all.md").read_text().startswith("# Summary of ")
+
+
+def test_models_of_the_settings(spark, tmp_path, monkeypatch):
+    (tmp_path / "in.txt").write_text("Climate change is real.\nSea levels are rising.\n")
+    monkeypatch.delenv(providers.KEY_VARIABLE, raising=False)
+    assert cli.main(["run", str(tmp_path / "in.txt"), "--output-dir", str(tmp_path / "out"), "--model", "gpt-4o"]) == 1
+    assert cli.main(["run", str(tmp_path / "in.txt"), "--output-dir", str(tmp_path / "out"), "--no-verify", "--tokenizer", "characters"]) == 0
+    assert (tmp_path / "out" / "summary_all.md").exists() and not (tmp_path / "out" / "verification").exists()
+    with pytest.raises(SummarizationError, match="LLM not initialized"):
+        providers.ChatClient("gpt-4o")
+    monkeypatch.setenv(providers.KEY_VARIABLE, "k")
+    monkeypatch.setenv(providers.URL_VARIABLE, "http://host/v9/")
+    sent = []
+
+    class Reply:
+        def __enter__(self):
+            return io.BytesIO(b'{"choices": [{"message": {"content": "fine"}}]}')
+
+        def __exit__(self, *_):
+            return False
+
+    monkeypatch.setattr(providers.urllib.request, "urlopen", lambda r, timeout: sent.append(r) or Reply())
+    assert providers.ChatClient("gpt-4o", 0.5, 77).complete("hello") == "fine"
+    body = json.loads(sent[0].data)
+    assert sent[0].full_url == "http://host/v9/chat/completions" and (body["model"], body["temperature"], body["max_tokens"]) == ("gpt-4o", 0.5, 77)
+    assert providers.chat_model("mock-model") is None and providers.base_url() == "http://host/v9"
+
+
+def test_public_names():
+    import sylvan
+
+    assert all(getattr(sylvan, name) is not None for name in sylvan.__all__) and issubclass(sylvan.SylvanError, Exception)
+
+
+def test_differing_dimensions_raise_or_are_listed(spark):
+    from sylvan.operators import chunking
+
+    rows = spark.createDataFrame([(1, 0, "a", [1.0, 0.0]), (1, 1, "b", [1.0]), (1, 2, "c", None)], "doc_id long, pos int, sentence string, embedding array<double>")
+    assert [tuple(r) for r in chunking.dimension_violations(rows).collect()] == [(1, 1, 1, 2)]
+    assert chunking.semantic_chunks(rows).count() >= 1
+    with pytest.raises(Exception, match="differ in dimension"):
+        chunking.semantic_chunks(rows, strict=True).collect()
+
+
+def test_more_levels_than_a_fixed_bound_and_growing_levels(spark):
+    leaves = spark.createDataFrame([(1, k, str(k), f"t{k}") for k in range(60)], "doc_id long, ord int, node_id string, text string")
+
+    def slow(nodes):  # merges the first two only, so that a level has one node fewer
+        return nodes.withColumn("cluster_id", F.greatest(F.col("ord") - 1, F.lit(0)).cast("int")) if nodes.first().n > 20 else clustering.by_order(5)(nodes)
+
+    _, _, trees = tree.build(leaves, slow)
+    row = trees.first()
+    assert row.status == "complete" and row.levels > 40
+    wide = tree.build(leaves, lambda nodes: nodes.withColumn("cluster_id", F.explode(F.array(F.col("ord"), F.col("ord") + 100))))
+    assert wide[2].first().status == "unreduced"
