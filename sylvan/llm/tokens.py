@@ -14,38 +14,26 @@ end looks beyond it.
 
 from __future__ import annotations
 
-import base64
 import os
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from sylvan.functions.tokenizers import FOLDER
+from sylvan.functions.tokenizers import rank_file as encoding
+
 #: Folder of the public vocabularies (see its README).
-TOKENIZERS = "/opt/tokenizers"
+TOKENIZERS = FOLDER
 #: Texts of at most this many characters are leaves of the tree.
 LEAF = 8_192
-#: The splitting pattern of the byte-level vocabularies, as their publisher gives it.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-
 _CERTAIN = re.compile(r"(?<=[A-Za-z0-9])(?=[\t\n\r !-/:-@\[-`{-~])")
 _CERTAIN_BACK = 256
 
 
-@lru_cache(maxsize=4)
-def encoding(path: str):
-    """The encoder of a rank file, one for each worker."""
-    import tiktoken
-
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-
 def _ids(enc, text: str) -> list[int]:
     return enc.encode_ordinary(text) if text else []
 
