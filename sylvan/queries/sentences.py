@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,7 +58,25 @@ def sentence_split(spark: SparkSession, d: str) -> DataFrame:
     return C.sentence_rows(docs(spark, d))
 
 
-@query("sentence_normalized")
+def _compatibility() -> str:
+    """SQL rows of each character whose compatibility decomposition is more than its canonical one."""
+    pairs = ((chr(n), unicodedata.normalize("NFKD", chr(n))) for n in range(0xA0, 0x30000) if not 0xAC00 <= n < 0xE000)
+    return ", ".join(f"('{a}','{b}')" for a, b in ((x.replace("'", "''"), y.replace("'", "''")) for x, y in pairs if y != unicodedata.normalize("NFD", x)))
+
+
+#: Sentences in compatibility form: each character decomposed by the Unicode database, then composed.
+NORMALIZED = rf"""{SENTENCES},
+kd(c, t) AS (VALUES {_compatibility()}),
+wide AS (SELECT doc_id, pos, unnest(string_split(sentence, '')) AS c, unnest(generate_series(1, len(string_split(sentence, '')))) AS i FROM sents WHERE NOT regexp_full_match(sentence, '[\x00-\x7f]*')),
+folded AS (SELECT doc_id, pos, nfc_normalize(string_agg(coalesce(t, c), '' ORDER BY i)) AS sentence FROM wide LEFT JOIN kd USING (c) GROUP BY 1, 2),
+norm AS (SELECT s.doc_id, s.pos, coalesce(f.sentence, s.sentence) AS sentence FROM sents s LEFT JOIN folded f USING (doc_id, pos))"""
+CHUNKS_NORMALIZED = f"""{NORMALIZED},
+nlens AS (SELECT doc_id, pos, length(sentence) AS n FROM norm),
+{fold_sql("nlens", 500).replace("f(doc_id", "nf(doc_id", 1).replace(" f.", " nf.").replace("FROM f JOIN", "FROM nf JOIN").replace("(f.", "(nf.")},
+nchunked AS (SELECT nf.doc_id, nf.gid::INTEGER AS index, string_agg(s.sentence, '' ORDER BY nf.pos) AS text FROM nf JOIN norm s USING (doc_id, pos) GROUP BY 1, 2)"""
+
+
+@query("sentence_normalized", f"WITH {NORMALIZED} SELECT doc_id, pos, sentence FROM norm")
 def sentence_normalized(spark: SparkSession, d: str) -> DataFrame:
     return C.sentence_rows(docs(spark, d), normalized=True)
 
@@ -97,7 +117,11 @@ def chunk_offsets(spark: SparkSession, d: str) -> DataFrame:
     return c.select("doc_id", "index", F.length("text").alias("chars"), "start_char_idx", "end_char_idx")
 
 
-@query("chunk_pipeline")
+@query(
+    "chunk_pipeline",
+    f"""WITH RECURSIVE {CHUNKS_NORMALIZED} SELECT doc_id, index, text, (sum(length(text)) OVER w - length(text))::INTEGER AS start_char_idx, (sum(length(text)) OVER w)::INTEGER AS end_char_idx
+  FROM nchunked WINDOW w AS (PARTITION BY doc_id ORDER BY index)""",
+)
 def chunk_pipeline(spark: SparkSession, d: str) -> DataFrame:
     """The whole text slice: split, normalize, pack, offsets."""
     return C.token_chunks(docs(spark, d), 500)

@@ -111,3 +111,16 @@ def cluster_concat(spark: SparkSession, d: str) -> DataFrame:
     g = j.groupBy("doc_id", "level", "cluster_id").agg(F.sort_array(F.collect_list(F.struct(F.length("node").alias("n"), "node", F.coalesce("text", F.lit("")).alias("text")))).alias("x"))
     text = F.array_join(F.transform("x", lambda v: v["text"]), "\n\n")
     return g.select("doc_id", "level", "cluster_id", F.size("x").cast("long").alias("members"), F.md5(text).alias("context_md5"))
+
+
+@query(
+    "node_json_fields",
+    """SELECT DISTINCT node_no, id, doc_id, level::INTEGER AS level, md5(text) AS text_md5, len(children_indices)::INTEGER AS children, children_indices[1] AS first_child FROM summary_nodes""",
+)
+def node_json_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Each node written as JSON and read back; the vector is not in it."""
+    j = store.to_json(table(spark, d, "summary_nodes").select("node_no", "id", "doc_id", "level", "text", "children_indices", "embedding")).select("content")
+    v = F.from_json("content", "node_no long, id string, doc_id long, level int, text string, children_indices array<string>, embedding array<float>")
+    x = j.select(v.alias("v"), F.get_json_object("content", "$.embedding").alias("vector")).where("vector is null").select("v.*")
+    children = F.when(F.col("children_indices").isNotNull(), F.size("children_indices"))
+    return x.select("node_no", "id", "doc_id", "level", F.md5("text").alias("text_md5"), children.alias("children"), F.get("children_indices", F.lit(0)).alias("first_child")).distinct()

@@ -18,10 +18,11 @@ LEAVES_SQL = f"""leaf AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id
     FROM (SELECT DISTINCT node_no, doc_id, chunk_index, text FROM chunks) WHERE text IS NOT NULL AND length({strip_sql("text")}) > 0)"""
 
 
-def tree_sql() -> str:
-    out = [LEAVES_SQL, "l0 AS (SELECT doc_id, 0 AS level, ord, node_id, text, 0 AS cluster_id FROM leaf)"]
+def tree_sql(leaves: str = LEAVES_SQL, clean: str = "{}") -> str:
+    """The trees over ``leaves``; ``clean`` is what a context goes through before it is summarized."""
+    out = [leaves, "l0 AS (SELECT doc_id, 0 AS level, ord, node_id, text, 0 AS cluster_id FROM leaf)"]
     for k in range(1, LEVELS + 1):
-        text = mock_sql("context")
+        text = mock_sql(clean.format("context"))
         body = f"CASE WHEN n = 1 THEN context ELSE {text} END" if k == 1 else text
         most = "" if k == 1 else "WHERE n > 1"
         out.append(

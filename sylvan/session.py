@@ -54,6 +54,11 @@ def _session_dir(spark: SparkSession) -> str:
     return known
 
 
+def scratch(spark: SparkSession) -> str:
+    """A folder that all executors share, deleted when the session ends."""
+    return _session_dir(spark)
+
+
 def put(spark: SparkSession, name: str, data: bytes) -> str:
     """The path of a file with ``data`` in this session's folder."""
     return write_file(spark, f"{_session_dir(spark)}/{name}", data)
