@@ -30,7 +30,13 @@ def _records(spark: SparkSession, d: str) -> DataFrame:
     return similarity.records(table(spark, d, "chunks"), table(spark, d, "summary_nodes"))
 
 
-@query("p2_found")
+#: Every pair by the exact cosine; as clusters do not touch, a record's first is the smallest similar to it.
+_COSINE_SQL = """WITH n AS (SELECT node_no, embedding FROM chunks UNION ALL SELECT node_no, embedding FROM summary_nodes),
+u AS (SELECT node_no, any_value(list_transform(embedding, lambda x: x::DOUBLE)) AS v FROM n WHERE node_no IS NOT NULL AND len(embedding) = 64
+  AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY 1)"""
+
+
+@query("p2_found", f"{_COSINE_SQL} SELECT min(a.node_no) AS first_no, b.node_no FROM u a JOIN u b ON a.node_no < b.node_no AND list_cosine_similarity(a.v, b.v) >= 0.9 GROUP BY b.node_no")
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return similarity.found(_records(spark, d))
 
