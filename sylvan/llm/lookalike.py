@@ -26,21 +26,24 @@ from pyspark.sql import functions as F
 
 from sylvan.session import cut
 
-#: Cyrillic, Greek and other letters drawn like a Latin letter, and that letter.
+#: Letters of other scripts drawn like a Latin letter, and that letter. Letters that only resemble one are left out (α, γ, σ, г, Ь).
 LOOKALIKES = {
-    "АВЕЅІЈКМНОРСТУХҮԌԚԜӀ": "ABESIJKMHOPCTYXYGQWl",
-    "аеорсухѕіјһԁԛԝѵӏ": "aeopcyxsijhdqwvl",
-    "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϳ": "ABEZHIKMNOPTYXCj",
-    "ονϲ": "ovc",
+    "АВЕЅІЈКМНОРСТУХҮѴԌԚԜӀ": "ABESIJKMHOPCTYXYVGQWl",
+    "аеорсухүѕіјһѡԁԛԝѵӏ": "aeopcyxysijhwdqwvl",
+    "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϜϹϺͿϳ": "ABEZHIKMNOPTYXFCMJj",
+    "ονρυϲ": "ovpuc",
+    "ՍՏՕզհոսցօ": "USOqhnugo",
     "ɡɑ": "ga",
-    "ᎪᏴᎬᎻᎫᏦᎷᏢᏀ": "ABEHJKMPG",
+    "ᎠᎢᎩᎪᎫᎬᎳᎷᎻᏀᏃᏕᏙᏚᏞᏟᏢᏦᏴ": "DTYAJEWMHGZSVSLCPKB",
+    "ⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬⲟⲣⲥ": "HIKMNOPCTYXopc",
+    "ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ": "BPDTGKJCZFMNLSRVHWXYAEIOU",
 }
 #: Punctuation drawn alike.
-MARKS = {"‐": "-", "‑": "-", "ʼ": "’", "ˈ": "'", "׃": ":", "；": ";", ";": ";", "·": "·", "‧": "·", "・": "・", "〜": "~", "꞉": ":"}
+MARKS = {"‐": "-", "‑": "-", "ʼ": "’", "ˈ": "'", "׃": ":", "；": ";", ";": ";", "·": "·", "‧": "·", "・": "・", "〜": "~", "꞉": ":", "∶": ":", "∕": "/"}
 #: Compatibility decompositions that do not change what a reader sees.
 KINDS = {"<wide>", "<narrow>", "<compat>", "<noBreak>", "<initial>", "<medial>", "<final>", "<isolated>", "<vertical>", "<small>", "<font>"}
 #: Characters that look the same once drawn as another one would be wrong to merge.
-APART = ["O0", "Il", "l1", "éе", "eé", "аá", "–-", "—–", "’'", "“\"", "….", "²2", "①1", "½1", "カガ", "カか", "へベ", "一ー", "口ロ", "二ニ", "\n ", "\t ", "ßb", "øo", "ıi", "ŁL", "ñn"]
+APART = ["O0", "Il", "l1", "éе", "eé", "аá", "–-", "—–", "’'", "“\"", "….", "²2", "①1", "½1", "カガ", "カか", "へベ", "一ー", "口ロ", "二ニ", "\n ", "\t ", "ßb", "øo", "ıi", "ŁL", "ñn", "αa", "гr", "−-", "′'"]
 #: Invisible code points outside the format category.
 BLANKS = "\u034f\u115f\u1160\u17b4\u17b5\u3164\uffa0\u2800"
 _VIRAMAS = {c for c in map(chr, range(0x900, 0x1100)) if ud.combining(c) == 9}
@@ -60,7 +63,7 @@ def _invisible(c: str) -> bool:
 @lru_cache(maxsize=1)
 def table() -> dict[str, str]:
     """Code point to canonical form, for every code point that is not canonical itself."""
-    plain = {a: b for k, v in LOOKALIKES.items() for a, b in zip(k, v, strict=False)}
+    plain = {a: b for k, v in LOOKALIKES.items() for a, b in zip(k, v, strict=True)}
     plain |= MARKS
     raw: dict[str, str] = {}
     for n in range(0x80, sys.maxunicode + 1):
@@ -100,10 +103,16 @@ def table() -> dict[str, str]:
 
 
 def check(mapping: dict[str, str]) -> None:
-    """Raise unless results are final and the pairs of :data:`APART` stay apart."""
+    """Raise unless results are final, every character keeps the case or value of the letter or digit it
+    becomes, and the pairs of :data:`APART` stay apart."""
     for c, to in mapping.items():
         if any(x in mapping and mapping[x] != x for x in to):
             raise ConflictError(f"{c!r} maps to {to!r}, which is mapped further")
+    for c, to in mapping.items():
+        if len(to) == 1 and to.isascii() and to.isalnum():
+            # whatever merges with a Latin letter or digit has its case or value; the palochka is drawn like a small l
+            if to.isdigit() and ud.digit(c, -1) != int(to) or c != "Ӏ" and (c.isupper() and to.islower() or c.islower() and to.isupper()):
+                raise ConflictError(f"{c!r} would become {to!r}")
     for pair in APART:
         if mapping.get(pair[0], pair[0]) == mapping.get(pair[1], pair[1]):
             raise ConflictError(f"{pair!r} would become the same")
@@ -112,7 +121,10 @@ def check(mapping: dict[str, str]) -> None:
 @lru_cache(maxsize=1)
 def _machine() -> re.Pattern:
     """One alternation, longest first: line ends, clusters with marks, joiners, mapped code points."""
-    marks = _ranges([chr(n) for n in range(0x300, sys.maxunicode + 1) if ud.category(chr(n)) in ("Mn", "Mc") and ud.combining(chr(n))] + ["ﾞ", "ﾟ"])
+    # signs that compose with what stands before them count as marks even where their class is that of a letter
+    parts = [ud.decomposition(chr(n)).split() for n in range(0x300, sys.maxunicode + 1)]
+    signs = {c for x in parts if len(x) == 2 and x[0][0] != "<" and ud.category(c := chr(int(x[1], 16))) in ("Mn", "Mc")}
+    marks = _ranges(sorted(signs | {c for c in map(chr, range(0x300, sys.maxunicode + 1)) if ud.category(c) in ("Mn", "Mc") and ud.combining(c)} | {"ﾞ", "ﾟ"}))
     skip = _ranges([c for c, to in table().items() if not to])
     single = _ranges(list(table()))
     hangul = "[\u1100-\u1112][\u1161-\u1175][\u11a8-\u11c2]?|[\uac00-\ud7a3][\u11a8-\u11c2]"

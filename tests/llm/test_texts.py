@@ -35,7 +35,18 @@ def test_canonical_is_final(text):
     assert lookalike.canonical(unicodedata.normalize("NFD", text)) == lookalike.canonical(unicodedata.normalize("NFC", text))
 
 
+def test_letters_of_other_scripts_and_signs_without_a_class():
+    for a, b in [("DTWSVCZ", "ᎠᎢᎳᏚᏙᏟᏃ"), ("pu", "ρυ"), ("oun", "օսո"), ("V", "Ѵ"), ("BOA", "ꓐꓳꓮ"), ("HKM", "ⲎⲔⲘ"), ("1:2", "1∶2"), ("a/b", "a∕b"), ("\U000114bb", "\U000114b9\U000114ba"), ("ো", "ো")]:
+        assert lookalike.canonical(a) == lookalike.canonical(b)
+    for a, b in [("a", "α"), ("-", "−"), ("y", "γ"), ("r", "г"), ("0", "Օ")]:
+        assert lookalike.canonical(a) != lookalike.canonical(b)
+
+
 def test_conflicts_are_found():
+    with pytest.raises(lookalike.ConflictError):
+        lookalike.check({"α": "A"})
+    with pytest.raises(lookalike.ConflictError):
+        lookalike.check({"٣": "4"})
     with pytest.raises(lookalike.ConflictError):
         lookalike.check({"O": "0"})
     with pytest.raises(lookalike.ConflictError):
