@@ -1,10 +1,11 @@
 """Splitting oversized items at natural boundaries (problem 5).
 
 For each text longer than its limit the positions where it may be cut are collected once, sorted,
-for each kind of boundary: paragraph, line, sentence, clause, word, grapheme. Offsets are prefix
-sums of lengths, so a piece's end is found by binary search for the last boundary under the limit,
-the strongest kind first among those that leave the piece at least half full; without any, the
-piece is cut hard at the limit. The next piece begins the given overlap before that end.
+for each kind of boundary: paragraph, line, sentence (those of :mod:`sylvan.llm.sentences`), clause,
+word, grapheme. Offsets are prefix sums of lengths, so a piece's end is found by binary search for
+the last boundary under the limit, the strongest kind first among those that leave the piece at
+least half full, else the last of any kind; without any, the piece is cut hard at the limit. The next
+piece begins the given overlap before that end.
 """
 
 from __future__ import annotations
@@ -19,13 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A boundary counts only if the piece up to it is at least this share of the limit.
+from sylvan.llm.sentences import sentences
+
+#: A stronger boundary goes before a later one only if the piece up to it is at least this share of the limit.
 FILL = 0.5
-#: Strongest first. Each match's end is a place to cut.
-KINDS = [
+#: Breaks of paragraphs and lines, clauses and words, strongest first. Each match's end is a place to cut.
+BREAKS = [
     re.compile(r"(?:\r\n|[\n\r\u2028\u2029\x85])(?:[^\S\n\r]*(?:\r\n|[\n\r\u2028\u2029\x85]))+"),
     re.compile(r"\r\n|[\n\r\u2028\u2029\x85]"),
-    re.compile(r"[.!?…](?:[\"'”’»)\]]*)\s+|[。！？｡．।॥።؟۔](?:[」』”’）》】]*)\s*"),
     re.compile(r"[,;:](?=\s)\s+|[、，；：،؛፣]\s*|\s[–—]\s"),
     re.compile(r"\s+"),
 ]
@@ -64,7 +66,8 @@ def split(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
     if end - begin <= limit:
         return [(begin, end)]
     overlap = max(0, min(overlap, limit - 1))
-    cuts = [[m.end() for m in kind.finditer(text, begin, end)] for kind in KINDS]
+    paragraph, line, clause, word = ([m.end() for m in kind.finditer(text, begin, end)] for kind in BREAKS)
+    cuts = [paragraph, line, [a for a, _ in sentences(text)][1:], clause, word]
     out, start = [], begin
     while True:
         most = start + limit
@@ -79,6 +82,8 @@ def split(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
                 stop = kind[k - 1]
                 break
         if not stop:
+            stop = max((kind[k - 1] for kind in cuts if (k := bisect_right(kind, most))), default=0)
+        if stop <= start + overlap:
             stop = _safe(text, most, start + overlap)
         out.append((start, stop))
         back = stop - overlap

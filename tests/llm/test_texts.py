@@ -312,3 +312,23 @@ def test_expectation_sums_equal_the_plain_densities():
     assert np.allclose(got, p)
     sums, _ = model.sums(x)
     assert np.allclose(sums[:, 0], p.sum(axis=0)) and np.allclose(sums[:, 1 : d + 1], p.T @ x)
+
+
+def test_an_early_boundary_goes_before_a_hard_cut():
+    text = "A short first paragraph.\n\n" + "x" * 300
+    assert pieces.split(text, 100, 10)[0] == (0, 26)
+    assert pieces.split("y" * 300, 100, 10)[0] == (0, 100)
+
+
+def test_pieces_end_at_sentences_not_at_abbreviations():
+    text = "The report of Dr. Ito names nine mills. " + "It was read by Prof. Noor and by nobody else here today. " * 3
+    ends = [text[:e].rstrip()[-5:] for _, e in pieces.split(text, 75, 0)[:-1]]
+    assert all(x in ("ills.", "oday.") for x in ends)
+
+
+def test_the_tree_with_small_leaves_on_the_corpus(sf, enc):
+    import pyarrow.parquet as pq
+
+    for text in pq.read_table(f"{sf}/documents.parquet", columns=["text"])["text"].to_pylist():
+        if text:
+            assert tokens.encode(enc, text, 96) == enc.encode_ordinary(text)
