@@ -34,16 +34,10 @@ def _nfkc_each(col: pd.Series) -> pd.Series:
 
 
 def normalize_each(c: Column) -> Column:
-    """NFKC of every element of an array; arrays of ASCII only never reach Python's normalizer."""
+    """NFKC of every element of an array; ASCII elements pass the worker unchanged, without the normalizer."""
     return _nfkc_each(c)
 
 
-@F.pandas_udf(StringType())
-def normalize(col: pd.Series) -> pd.Series:
-    """NFKC of a string; null stays null."""
-    return col.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
-
-
 def longest_word(c: Column) -> Column:
     """Length of the longest run without white space; 0 for empty text."""
     return F.coalesce(F.array_max(F.transform(F.split(c, rf"(?U){SPACE}+"), F.length)), F.lit(0))

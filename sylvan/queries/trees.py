@@ -51,7 +51,8 @@ def built(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]
     files, stored, and read from there by every query."""
 
     def build() -> tuple[DataFrame, ...]:
-        return tuple(map(cut, tree.build(leaves(spark, d))))
+        nodes, edges, trees = tree.build(leaves(spark, d))  # each level is written already
+        return nodes, edges, cut(trees)
 
     return once(spark, f"{d}/chunks.parquet", "trees", build)
 
