@@ -107,10 +107,10 @@ class Language:
 
         self.name = name
         self.never, self.numbered, self.words = of(NEVER), of(NUMBERED), of(WORDS)
-        self.maybe = of(MAYBE) | frozenset(_fold(x) for x in UNITS.split())
+        self.maybe = of(MAYBE) | (frozenset(_fold(x) for x in UNITS.split()) if name else frozenset())
         self.starters = of(FUNCTION)
         self.clause = of(CLAUSE)
-        self.months = frozenset(_fold(x) for x in MONTHS.split())
+        self.months = frozenset(_fold(x) for x in MONTHS.split()) if name else frozenset()
 
 
 @lru_cache(maxsize=32)
@@ -118,6 +118,17 @@ def language(name: str) -> Language:
     return Language(name)
 
 
+#: No language: nothing is an abbreviation.
+NONE = Language("")
+
+
+@lru_cache(maxsize=1)
+def every() -> frozenset[str]:
+    """Abbreviations of any language; only for these must a paragraph's language be known."""
+    all_ = language("+".join({*NEVER, *NUMBERED, *MAYBE}))
+    return all_.never | all_.numbered | all_.maybe
+
+
 @lru_cache(maxsize=1)
 def _votes() -> dict[str, list[str]]:
     out: dict[str, list[str]] = {}

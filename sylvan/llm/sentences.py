@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sylvan.llm import lookalike
-from sylvan.llm.abbreviations import Language, Speech
+from sylvan.llm.abbreviations import NONE, Language, Speech, every
 
 def _having(prop: str) -> str:
     """All characters with a Unicode property; none of those used here lies beyond plane 1."""
@@ -51,6 +51,7 @@ _OPEN = set("“„«‹「『（([{¿¡‚‘〈《【｢\"'")
 _BRACKETS = set(")）]】》〉}")
 
 
+@lru_cache(maxsize=1 << 16)
 def _script(c: str) -> str:
     """A coarse class of a character: latin-like (cased), digit, or a caseless script's name."""
     n = ord(c)
@@ -92,8 +93,9 @@ def folded(text: str) -> tuple[str, str, list[int] | None]:
     pos = None
     o = text
     if drop.search(text):
-        pos = [i for i, c in enumerate(text) if not drop.match(c)]
-        o = "".join([text[i] for i in pos])
+        o = drop.sub("", text)
+        gaps = [0, *(i for m in drop.finditer(text) for i in m.span()), len(text)]
+        pos = [i for a, b in zip(gaps[::2], gaps[1::2], strict=True) for i in range(a, b)]
     return o.replace("\r\n", " \n").replace("\r", "\n").translate(one), o, pos
 
 
@@ -163,7 +165,7 @@ def _ends(f: str, o: str, a: int, b: int, m: re.Match, speech: Speech) -> int:
             token = _TOKEN.search(f, max(a, s - 40), s)[0].lstrip("'\"’([¿¡-*").lower()
             raw = _TOKEN.search(f, max(a, s - 40), s)[0]
             pk = _script(prev)
-            said = speech.of(a, b, s - len(token), s)
+            said = speech.of(a, b, s - len(token), s) if token in every() or token.isdigit() and len(token) <= 2 else NONE
             maybe, months = said.maybe, said.months
             if pk == "thai":
                 return -1
