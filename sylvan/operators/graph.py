@@ -69,15 +69,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         # large star: link every larger neighbour of u (and u's own side) to u's smallest neighbour
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = both.where("b > a").join(low.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
         # small star: all smaller neighbours of u, and u, to the smallest of them
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         low2 = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(low2, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("x"))
+        small = down.join(low2.hint("merge"), "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("x"))
         nxt = cut(small.select("x.a", "x.b").where("a <> b").distinct())
         # done when every vertex hangs on exactly one other and that one hangs on none
-        if nxt.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").isEmpty() and nxt.join(nxt.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
+        if nxt.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").isEmpty() and nxt.join(nxt.select(F.col("a").alias("b")).hint("merge"), "b", "left_semi").isEmpty():
             drop(e)
             e = nxt
             break
