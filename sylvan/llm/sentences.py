@@ -99,8 +99,8 @@ def folded(text: str) -> tuple[str, str, list[int] | None]:
     return o.replace("\r\n", " \n").replace("\r", "\n").translate(one), o, pos
 
 
-def _ends(f: str, o: str, a: int, b: int, m: re.Match, speech: Speech) -> int:
-    """Where the sentence ends if one ends at the terminators ``m`` of the paragraph ``[a, b)``, else -1."""
+def _ends(f: str, o: str, a: int, b: int, m: re.Match, speech: Speech, begin: int) -> int:
+    """Where the sentence that began at ``begin`` ends if it does at the terminators ``m`` of the paragraph ``[a, b)``, else -1."""
     s, e = m.span()
     term = f[s:e]
     close = _CLOSE.match(f, e, b)
@@ -162,8 +162,8 @@ def _ends(f: str, o: str, a: int, b: int, m: re.Match, speech: Speech) -> int:
         return end if spaced or (cased and c.isupper()) or c in _OPEN else -1
     if term[-1] == "." and len(term) == 1:
         if not closers:
-            token = _TOKEN.search(f, max(a, s - 40), s)[0].lstrip("'\"’([¿¡-*").lower()
-            raw = _TOKEN.search(f, max(a, s - 40), s)[0]
+            token = _TOKEN.search(f, max(begin, s - 40), s)[0].lstrip("'\"’([¿¡-*").lower()
+            raw = _TOKEN.search(f, max(begin, s - 40), s)[0]
             pk = _script(prev)
             said = speech.of(a, b, s - len(token), s) if token in every() or token.isdigit() and len(token) <= 2 else NONE
             maybe, months = said.maybe, said.months
@@ -241,7 +241,7 @@ def _cuts(f: str, o: str, a: int, b: int, speech: Speech) -> list[int]:
     cuts = []
     at = a
     while m := _TERM.search(f, at, b):
-        end = _ends(f, o, a, b, m, speech)
+        end = _ends(f, o, a, b, m, speech, cuts[-1] if cuts else a)
         at = m.end()
         if end >= 0:
             at = max(at, end)

@@ -69,3 +69,9 @@ def test_words_that_are_abbreviations_elsewhere(want):
 def test_terminators_by_property(want, between):
     text = between.join(want)
     assert [text[s:e] for s, e in S.sentences(text)] == want
+
+
+def test_an_abbreviation_right_after_a_stop_without_a_space():
+    want = ["The gauge is noisy again.", "Dr. Ito measured 4 mm.", "It broke.", "No. 9 vs. no. 10 was never a fair test."]
+    text = "".join([want[0], want[1], " ", want[2], want[3]])
+    assert [text[s:e] for s, e in S.sentences(text)] == want
