@@ -27,10 +27,9 @@ from sylvan.llm.sentences import folded
 from sylvan.session import cut as write
 
 MEASURES = ("chars", "utf8", "utf16", "json", "entities", "crlf")
-#: A limit: at least this many unfinished texts of one length, this many times as many as at near lengths; or so
-#: many texts of any ending as chance would not bring (this many deviations of a Poisson count over the usual).
-LEAST, TIMES, NEAR = 3, 4, 8
-SURE = 7
+#: A limit: so many unfinished texts, or texts of any ending, of one length as chance would not bring, against those of
+#: near lengths (this many deviations of a Poisson count over the usual, and as many texts more), at every size of the tables.
+NEAR, SURE, SURE_OF_ALL = 8, 3.5, 7
 #: Length of the endings that are compared where a script has no full stop; an ending of a sentence is one that ends at
 #: least this many and this share of all sentences in that script.
 TAIL, TAIL_LEAST, TAIL_SHARE = 6, 2, 2e-5
@@ -303,9 +302,10 @@ def limits_of(lengths: DataFrame) -> DataFrame:
     def usual(around: str) -> Column:
         return 0.25 + F.col(around) / (2 * NEAR)
 
-    piled = (F.col("unfinished") >= LEAST) & (F.col("unfinished") >= TIMES * usual("u"))
-    all_piled = F.col("texts") >= usual("t") + SURE * F.sqrt(usual("t")) + SURE
-    return both.where(piled | all_piled).select("source", "measure", "length", "texts", "unfinished")
+    def piled(n: str, around: str, sure: float) -> Column:
+        return F.col(n) >= usual(around) + sure * (F.sqrt(usual(around)) + 1)
+
+    return both.where(piled("unfinished", "u", SURE) | piled("texts", "t", SURE_OF_ALL)).select("source", "measure", "length", "texts", "unfinished")
 
 
 def found(nodes: DataFrame) -> DataFrame:
