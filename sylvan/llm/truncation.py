@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sylvan.llm.abbreviations import Language, Speech
+from sylvan.llm.abbreviations import NONE, Language, Speech, every
 from sylvan.llm.sentences import folded
 from sylvan.session import cut as write
 
@@ -65,14 +65,15 @@ def measures(text: str) -> list[int]:
     return [
         len(text),
         len(text.encode("utf-8", "surrogatepass")),
-        len(text) + sum(c > "￿" for c in text),
+        len(text.encode("utf-16-le", "surrogatepass")) // 2,
         len(json.dumps(text)) - 2,
         len(html.escape(text)),
         len(unix) + unix.count("\n"),
     ]
 
 
-_WORD = re.compile(r"[^\W\d_]+(?:[-’'][^\W\d_]+)*")
+#: Words of scripts with capitals.
+_WORD = re.compile("[A-Za-zÀ-ɏͰ-ϿЀ-֏Ḁ-῿]+(?:[-’'][A-Za-zÀ-ɏͰ-ϿЀ-֏Ḁ-῿]+)*")
 _CASED = re.compile(r"[^\W\d_]")
 
 
@@ -166,7 +167,7 @@ def ending(text: str) -> tuple[str, str, str]:
             if _NOT_DOT.search(core[-6:-1]) or (core[-2:-1].isdigit() and _NOT_DOT.search(core[-16:-1])):
                 if not re.search(r"\s[A-Za-z]+\.$", core):
                     return "open", body, ""
-            said = _speaker(core, len(core) - 1 - len(raw))
+            said = _speaker(core, len(core) - 1 - len(raw)) if token in every() else NONE
             short = token in said.never or token in said.numbered
             if short or (len(raw) == 1 and raw.isalpha()) or re.fullmatch(r"v\d+(\.\d+)*", token):
                 return "open" if not (heading or token in said.maybe or short and token in said.words) else "maybe", body, ""
@@ -225,7 +226,8 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tails.append(tail)
             lengths.append(measures(rest))
             known.append(_tails(t) if _THAI.search(t) else [])
-            inner = {m.lower() for m in _WORD.findall(folded(t)[0])[:-1]}
+            found_ = _WORD.findall(t if t.isascii() or not _WORD.search(t) else folded(t)[0])
+            inner = set(map(str.lower, found_[:-1]))
             if state == "title":
                 inner |= set(tail.split(" ")[:-1])
             for w in inner:
