@@ -33,6 +33,7 @@ def _having(prop: str) -> str:
 #: Sentence terminators of all scripts by their properties; ellipses end as well where their sentence does, the semicolon in Greek.
 _TERM = re.compile("[" + re.escape(_having(r"[\p{Sentence_Break=STerm}\p{Sentence_Break=ATerm}\p{Sentence_Terminal}]")) + "…‥;]+")
 _WIDE = set("。！？｡")
+_PLAIN_WIDE, _PLAIN = frozenset("。！？"), frozenset("!?")
 _CLOSE = re.compile("(?:[ ]?[»›](?!\\w)|[»›]|[”’\"'" + re.escape(_having(r"\p{Pe}")) + "]|“(?!\\w))*")
 _PARAGRAPH = re.compile(r"\n[^\S\n]*\n\s*|\u2029")
 _TOKEN = re.compile(r"[^\s“”„«»‚‘()（）「」『』\[\]—–!?…,;:。！？、，\u3040-\u30ff\u3400-\u9fff]*$")
@@ -103,6 +104,9 @@ def _ends(f: str, o: str, a: int, b: int, m: re.Match, speech: Speech, begin: in
     """Where the sentence that began at ``begin`` ends if it does at the terminators ``m`` of the paragraph ``[a, b)``, else -1."""
     s, e = m.span()
     term = f[s:e]
+    # most places need no rules: a full-width mark before a kana or ideograph, a mark before a blank and a capital
+    if term in _PLAIN_WIDE and e < b and "\u3040" <= f[e] <= "\u9fff" or term in _PLAIN and e + 1 < b and f[e] == " " and "A" <= f[e + 1] <= "Z":
+        return e
     close = _CLOSE.match(f, e, b)
     end = close.end()
     closers = f[e:end]

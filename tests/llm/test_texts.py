@@ -332,3 +332,11 @@ def test_the_tree_with_small_leaves_on_the_corpus(sf, enc):
     for text in pq.read_table(f"{sf}/documents.parquet", columns=["text"])["text"].to_pylist():
         if text:
             assert tokens.encode(enc, text, 96) == enc.encode_ordinary(text)
+
+
+def test_few_texts_of_one_length_are_no_limit(spark):
+    # three unfinished texts of one length by chance among many lengths, and a real limit of thirty
+    texts = ["w" * (50 + k) + " was the" for k in range(200)] + ["v" * 120 + " was the"] * 2 + [f"{k:03d} " + "u" * 300 + " was the" for k in range(30)] + ["A whole text " + "t" * 107 + " it did…"]
+    df = spark.createDataFrame([(f"n{k}", "s", t) for k, t in enumerate(texts)], "id string, source string, text string")
+    assert {(r.measure, r.length) for r in truncation.limits(df).collect()} == {(m, 312) for m in truncation.MEASURES}
+    assert f"n{len(texts) - 1}" not in {r.node_id for r in truncation.found(df).collect()}
