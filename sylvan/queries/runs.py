@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from sylvan.config import PipelineConfig
 from sylvan.functions import providers
+from sylvan.functions import text as T
 from sylvan.operators import clustering
-from sylvan.plans import export, pipeline
+from sylvan.plans import export, pipeline, verify
 from sylvan.queries.exports import NAME_SQL, PLACES_SQL, layout_sql, places, width_sql
 from sylvan.queries.registry import query
 from sylvan.queries.sentences import CHUNKS_NORMALIZED, DOCS, docs
@@ -118,3 +119,32 @@ def model_replies(spark: SparkSession, d: str) -> DataFrame:
     ask = providers.language_model(lambda: Parts(), attempts=2, wait=lambda k: 0.0)
     n = table(spark, d, "summary_nodes").where("text is not null").select("node_no", "text").distinct()
     return n.select("node_no", F.md5(ask(F.col("text"))).alias("reply_md5"))
+
+
+_PARTS = tuple(x.replace("'", "''") for x in T.VERIFY_STEPS)
+
+
+@query(
+    "verification_prompts",
+    f"""WITH {tree_sql()}, p AS (SELECT t.doc_id, n.text AS summary, (SELECT string_agg(c.text, chr(10) || chr(10) ORDER BY e.ord) FROM edges e JOIN nodes c ON c.doc_id = e.doc_id AND c.node_id = e.child_id
+    WHERE e.doc_id = t.doc_id AND e.parent_id = n.node_id) AS source FROM tops t JOIN nodes n ON n.doc_id = t.doc_id AND n.level = t.levels AND n.ord = 0)
+  SELECT doc_id, md5('{_PARTS[0]}' || source || '{_PARTS[1]}' || summary || '{_PARTS[2]}') AS prompt_md5, length(summary)::INTEGER AS summary_chars, length(source)::INTEGER AS source_chars FROM p""",
+)
+def verification_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """What a verifier is asked of each root: its children's texts, then its own."""
+    p = verify.pairs(*built(spark, d))
+    prompt = T.verification_prompt(F.col("source"), F.col("summary"))
+    return p.select("doc_id", F.md5(prompt).alias("prompt_md5"), F.length("summary").alias("summary_chars"), F.length("source").alias("source_chars"))
+
+
+@query(
+    "verification_replies",
+    """SELECT DISTINCT node_id, score, coalesce(len(details), 0)::INTEGER AS claims, coalesce(details[1].claim, '') AS first_claim, coalesce(len(unsupported_claims), 0)::INTEGER AS unsupported,
+    coalesce(model_name, 'gpt-4o') AS model_name FROM verifications WHERE score IS NOT NULL""",
+)
+def verification_replies(spark: SparkSession, d: str) -> DataFrame:
+    """Stored verifications as a model's fenced replies, parsed again; a reply without a score is none."""
+    reply = F.concat(F.lit("```json\n"), F.to_json(F.struct("score", "details", "unsupported_claims", "model_name")), F.lit("\n```"))
+    v = table(spark, d, "verifications").select("node_id", verify.parse(reply, "gpt-4o").alias("v")).where("v is not null")
+    first = F.coalesce(F.get(F.col("v.details.claim"), F.lit(0)), F.lit(""))
+    return v.select("node_id", "v.score", F.size("v.details").alias("claims"), first.alias("first_claim"), F.size("v.unsupported_claims").alias("unsupported"), "v.model_name").distinct()
