@@ -1,25 +1,26 @@
 """Grouping records into similarity clusters (problem 2).
 
-Each vector becomes a set: its 32 strongest of 256 fixed random projections, with their signs.
-Two vectors share set members as they share direction, so MinHash over these sets bands similar
-vectors together. The stated similarity is the cosine, so candidates are verified by it (exactly,
-in float64) where the general method verifies by Jaccard.
+A hash of a vector is the strongest of 128 fixed random projections, with its sign. Two vectors agree
+in a hash the more often the nearer their directions are: in 0.42 of hashes at cosine 0.9, in about 1/256 if they are random.
+The stated similarity is the cosine, so candidates are verified by it (exactly, in float64) where the
+general method verifies by Jaccard.
 
 Plan, for n records:
 
-* one pass over the vectors, no shuffle: within each buffer of rows MinHash buckets are formed and
+* one pass over the vectors, no shuffle: within each buffer of rows buckets of two hashes are formed and
   every row that is similar to an earlier one (its leader) is linked to it and drops out, so copies
   and hot groups shrink to one row for each buffer before anything moves;
-* the leaders go once to each of their cells, one for each table, with an int8 form of the vector (96 bytes), are
-  sorted by cell and linked to leaders inside the bands of the cell; a hot cell is split by its bands,
-  and a partition holds a fixed number of rows at every size;
+* the leaders go once to each of their cells, one for each table, with 24 hashes and an int8 form of the vector (88 bytes), are
+  sorted by cell and linked to leaders inside the bands of the cell; a partition holds about a fixed number of rows;
 * candidate links are verified on the full vectors by two equi-joins;
 * connected components of the links form the groups; of a group whose members are not all similar
   to its medoid (the member of highest degree) only those similar to it stay together, and the
   others are clustered anew from their vectors, until no group is loose.
 
-The cell key takes more MinHash values as n grows, so that cells stay small, and as such keys agree
-more rarely, each row then goes to more tables (``TABLES_OF``): the recall at the threshold stays.
+The rule for candidates is the same at every size: two leaders are compared if they agree in a cell and in one
+of its bands, three hashes together. Of random vectors one pair in two million does so in a band, one in ten thousand in any,
+which bounds the comparisons of a leader. Each band is worked off for itself, so a hot cell that is split by its
+bands to bound a task's memory gives the same links.
 """
 
 from __future__ import annotations
@@ -36,16 +37,13 @@ from sylvan.session import cut
 
 DIM = 64
 THRESHOLD = 0.9
-PROJECTIONS, TOP = 256, 32
-TABLES, VALUES, BANDS = 8, 16, 10
-#: Tables by the number of MinHash values in a cell key; each keeps the recall of a pair at the threshold over 0.9.
-TABLES_OF = {1: TABLES, 2: 16, 3: 40}
-#: Leaders up to which a cell key has that many values.
-MOST_LEADERS = {1: 24_000_000, 2: 400_000_000}
-MOST_TABLES = max(TABLES_OF.values())
-#: Inside the cells of table t the bands are ten pairs of the 16 values, other pairs for each table until all have been taken.
-_EVERY = np.random.default_rng(7).permutation([(i, j) for i in range(VALUES) for j in range(i)])
-PAIRS = np.resize(_EVERY, (MOST_TABLES * BANDS, 2)).reshape(MOST_TABLES, BANDS, 2)
+PROJECTIONS = 128
+TABLES, VALUES, BANDS = 8, 24, 24
+#: Tables by the number of hashes in a cell key. There is one rule; no number of leaders changes it.
+TABLES_OF = {1: TABLES}
+MOST_LEADERS: dict[int, int] = {}
+#: Inside the cells of table t the bands are 24 pairs of the 24 values, other pairs for each table.
+PAIRS = np.random.default_rng(7).permutation([(i, j) for i in range(VALUES) for j in range(i)])[: TABLES * BANDS].reshape(TABLES, BANDS, 2)
 #: Possible error of a cosine taken on int8 vectors; nearer to the threshold only the exact one decides.
 MARGIN = 0.006
 BUFFER = 65_536
@@ -56,35 +54,37 @@ HOT_ROWS, SAMPLE = 1_600_000, 64
 
 
 class Sketcher:
-    """Fixed projections and permutations; the same on every worker."""
+    """Fixed projections; the same on every worker."""
 
     def __init__(self, cell_rows: int = 1):
         r = np.random.default_rng(20240607)
-        self.axes = np.concatenate([np.linalg.qr(r.standard_normal((DIM, DIM)))[0] for _ in range(PROJECTIONS // DIM)], axis=1).astype(np.float32)
-        self.cell_rows, self.tables = cell_rows, TABLES_OF[cell_rows]
-        n = self.tables * cell_rows + VALUES
-        self.perm = np.stack([r.permutation(2 * PROJECTIONS) for _ in range(n)], axis=1).astype(np.uint16)
+        self.tables = TABLES_OF[cell_rows]
+        # each hash has two bases of its own
+        self.axes = [np.concatenate([np.linalg.qr(r.standard_normal((DIM, DIM)))[0] for _ in range(PROJECTIONS // DIM)], axis=1).astype(np.float32) for _ in range(self.tables + VALUES)]
+        self.turn = np.linalg.qr(r.standard_normal((DIM, DIM)))[0].astype(np.float32)
+
+    def hashes(self, unit: np.ndarray, axes: list[np.ndarray]) -> np.ndarray:
+        out = np.empty((len(unit), len(axes)), np.uint8)
+        for a in range(0, len(unit), 2048):
+            part = unit[a : a + 2048]
+            rows = np.arange(len(part))
+            for k, x in enumerate(axes):
+                p = part @ x
+                top = np.abs(p).argmax(axis=1)
+                out[a : a + 2048, k] = top * 2 + (p[rows, top] > 0)
+        return out
+
+    def cells(self, unit: np.ndarray) -> np.ndarray:
+        return self.hashes(unit, self.axes[: self.tables]).astype(np.int64) * self.tables + np.arange(self.tables)
 
     def __call__(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Cell keys ``[n, tables]`` and MinHash values ``[n, VALUES]``."""
-        cells = np.empty((len(unit), self.tables), np.int64)
-        values = np.empty((len(unit), VALUES), np.uint16)
-        for a in range(0, len(unit), 4096):
-            p = unit[a : a + 4096] @ self.axes
-            top = np.argpartition(-np.abs(p), TOP, axis=1)[:, :TOP]
-            token = top * 2 + (np.take_along_axis(p, top, 1) > 0)
-            low = self.perm[token[:, 0]]
-            for k in range(1, TOP):
-                np.minimum(low, self.perm[token[:, k]], out=low)
-            low = low.astype(np.int64)
-            m = self.tables * self.cell_rows
-            c = low[:, :m].reshape(-1, self.tables, self.cell_rows)
-            key = np.zeros(c.shape[:2], np.int64)
-            for k in range(self.cell_rows):
-                key = key * (2 * PROJECTIONS) + c[:, :, k]
-            cells[a : a + 4096] = key * MOST_TABLES + np.arange(self.tables)
-            values[a : a + 4096] = low[:, m:]
-        return cells, values
+        """Cell keys ``[n, tables]`` and further hashes ``[n, VALUES]``."""
+        return self.cells(unit), self.hashes(unit, self.axes[self.tables :])
+
+    def int8(self, unit: np.ndarray) -> np.ndarray:
+        """The vectors in int8, turned so that no coordinate stands out and coarsens the others."""
+        u = unit @ self.turn
+        return np.rint(u * (127 / np.abs(u).max(axis=1, keepdims=True))).astype(np.int8)
 
 
 def band_keys(cell: np.ndarray, values: np.ndarray, pair: np.ndarray) -> np.ndarray:
@@ -92,30 +92,45 @@ def band_keys(cell: np.ndarray, values: np.ndarray, pair: np.ndarray) -> np.ndar
     return (cell * (2 * PROJECTIONS) + v[:, 0]) * (2 * PROJECTIONS) + v[:, 1]
 
 
-def lead(keys: np.ndarray, cosine, free: np.ndarray, sure: float, least: float) -> tuple[np.ndarray, np.ndarray]:
+def by_key(keys: np.ndarray) -> np.ndarray:
+    """Positions sorted by key (not negative), equal keys in order; in one sort of integers where key and position fit."""
+    bits = max(1, len(keys).bit_length())
+    if not len(keys) or int(keys.max()).bit_length() + bits > 62:
+        return np.argsort(keys, kind="stable")
+    return np.sort((keys << bits) | np.arange(len(keys))) & ((1 << bits) - 1)
+
+
+def lead(keys: np.ndarray, cosine, free: np.ndarray, sure: float, least: float, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Link rows of equal key to leaders. Of each key the first free row leads; free rows whose
     cosine with it is at least ``least`` are linked, and at ``sure`` cease to be free; the others
-    go on with the next leader. Changes ``free``. Returns leaders and the rows linked to them."""
+    go on with the next leader. Changes ``free``. ``known``, which is changed too, holds the leader each row was surely linked to
+    last; that link isn't made again. Returns leaders and the rows linked to them."""
     rows = np.flatnonzero(free)
-    rows = rows[np.argsort(keys[rows], kind="stable")]
+    rows = rows[by_key(keys[rows])]
     a, b = [], []
     while len(rows) > 1:
         k = keys[rows]
         new = np.empty(len(k), bool)
         new[0] = True
         np.not_equal(k[1:], k[:-1], out=new[1:])
-        run = np.cumsum(new) - 1
-        first = np.flatnonzero(new)
-        size = np.diff(np.append(first, len(k)))
-        rest = ~new & (size[run] > 1)
-        follow, leader = rows[rest], rows[first[run[rest]]]
-        if not len(follow):
+        more = ~new
+        more[:-1] |= ~new[1:]  # rows that aren't alone with their key
+        rows, new = rows[more], new[more]
+        if not len(rows):
             break
-        c = cosine(leader, follow)
-        hit = c >= least
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, len(rows)))
+        follow, leader = rows[~new], np.repeat(rows[first], size - 1)
+        taken = np.zeros(len(follow), bool) if known is None else known[follow] == leader
+        ask = np.flatnonzero(~taken)
+        c = cosine(leader[ask], follow[ask])
+        hit = ask[c >= least]
         a.append(leader[hit])
         b.append(follow[hit])
-        taken = c >= sure
+        hit = ask[c >= sure]
+        taken[hit] = True
+        if known is not None:
+            known[follow[hit]] = leader[hit]
         free[follow[taken]] = False
         rows = follow[~taken]
     none = np.empty(0, np.int64)
@@ -148,7 +163,7 @@ def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, x = np.concatenate(no), np.concatenate(xs)
         n, one = np.unique(n, return_index=True)  # a row delivered twice counts once; smaller numbers lead
         u = _unit(x[one])
-        cells, values = sketch(u.astype(np.float32))
+        cells = sketch.cells(u.astype(np.float32)) // TABLES
         free = np.ones(len(n), bool)
         leader = np.full(len(n), -1)
 
@@ -156,9 +171,8 @@ def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return np.einsum("ij,ij->i", u[i], u[j])
 
         for t in range(TABLES):
-            for k in range(2):
-                a, b = lead(band_keys(cells[:, t], values, PAIRS[t, k]), cosine, free, THRESHOLD, THRESHOLD)
-                leader[b] = a
+            a, b = lead(cells[:, t] * (2 * PROJECTIONS) + cells[:, t - 1], cosine, free, THRESHOLD, THRESHOLD)
+            leader[b] = a
         while True:  # a row's leader may later have found its own
             up = np.where(leader >= 0, leader[leader], -1)
             if (up < 0).all():
@@ -186,7 +200,7 @@ def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _spread(cell_rows: int, hot: np.ndarray | None = None):
-    """Each leader once for each of its cells, with its MinHash values and int8 vector; in a cell
+    """Each leader once for each of its cells, with its hashes and int8 vector; in a cell
     that is ``hot`` (sorted) once for each of its bands there, under a negative key of its own. Rows that
     share a band meet either way, so splitting a cell loses no candidate."""
     hot = np.empty(0, np.int64) if hot is None else hot
@@ -201,8 +215,7 @@ def _spread(cell_rows: int, hot: np.ndarray | None = None):
             u = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float32).reshape(-1, DIM)
             no = batch.column(0).to_numpy()
             cells, values = sketch(u)
-            q = np.rint(u * (127 / np.abs(u).max(axis=1, keepdims=True))).astype(np.int8)
-            blob = np.concatenate([values.view(np.uint8), q.view(np.uint8)], axis=1)
+            blob = np.concatenate([values, sketch.int8(u).view(np.uint8)], axis=1)
             w = blob.shape[1]
             raw = blob.tobytes()
             one = [raw[i * w : (i + 1) * w] for i in range(len(u))]
@@ -216,20 +229,20 @@ def _spread(cell_rows: int, hot: np.ndarray | None = None):
                 some = np.flatnonzero(split)
                 few = [one[i] for i in some]
                 for k in range(BANDS):
-                    yield batch_of(-1 - (band_keys(cells[some, t], values[some], PAIRS[t, k]) * 16 + k), no[some], few)
+                    yield batch_of(-1 - (band_keys(cells[some, t], values[some], PAIRS[t, k]) * 32 + k), no[some], few)
 
     return spread
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate links ``(a, b)`` inside the cells of a partition sorted by cell and number. A cell
-    too large for the buffer is worked off in parts, of which only the leaders are kept; the parts
-    double, so the leaders are gone through a logarithmic number of times."""
-    w = VALUES * 2 + DIM
+    """Candidate links ``(a, b)`` inside the cells of a partition sorted by cell and number. A cell that is
+    one band and too large for the buffer is worked off in parts, of which only the leaders are kept, which
+    changes no link; the parts double, so the leaders are gone through a logarithmic number of times. Another
+    cell is held until it ends; none has more than ``HOT_ROWS`` rows."""
+    w = VALUES + DIM
 
     def link(cell: np.ndarray, no: np.ndarray, blob: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        values = np.ascontiguousarray(blob[:, : VALUES * 2]).view(np.uint16)
-        q = blob[:, VALUES * 2 :].view(np.int8)
+        values, q = blob[:, :VALUES], blob[:, VALUES:].view(np.int8)
         size = np.sqrt(np.einsum("ij,ij->i", q, q, dtype=np.float32))
 
         def cosine(i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -239,21 +252,27 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 c[s : s + BUFFER] = np.einsum("ij,ij->i", q[x].astype(np.float32), q[y].astype(np.float32)) / (size[x] * size[y])
             return c
 
+        # equal cells stand together and come in order
+        start = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
+        names = cell[start]
+        c = np.repeat(np.arange(len(names)), np.diff(np.append(start, len(cell))))
+        bands = int(np.searchsorted(cell, 0))  # rows of cells that are one band already; their keys are negative
+        table = cell[bands:] % TABLES
+        known = np.full(len(no), -1)
         free = np.ones(len(no), bool)
-        names, c = np.unique(cell, return_inverse=True)
-        band = names < 0  # such a cell is one band already
-        pairs = PAIRS[np.where(band, 0, names % MOST_TABLES)][c]
-        rows = np.arange(len(c))
         a, b = [], []
         for k in range(BANDS):
-            v = values[rows[:, None], pairs[:, k]].astype(np.int64)
-            keys = (c * (2 * PROJECTIONS) + v[:, 0]) * (2 * PROJECTIONS) + v[:, 1]
-            one = band[c]
-            keys[one] = c[one] * (2 * PROJECTIONS) ** 2 if k == 0 else -1 - rows[one]
-            x, y = lead(keys, cosine, free, THRESHOLD + MARGIN, THRESHOLD - MARGIN)
-            a.append(x)
-            b.append(y)
-        a_, b_ = no[np.concatenate(a)], no[np.concatenate(b)]
+            now = np.ones(len(no), bool)
+            now[:bands] = k == 0
+            keys = c * (2 * PROJECTIONS) ** 2
+            at = np.arange(bands, len(no))
+            keys[bands:] += values[at, PAIRS[table, k, 0]].astype(np.int64) * (2 * PROJECTIONS) + values[at, PAIRS[table, k, 1]]
+            x, y = lead(keys, cosine, now, THRESHOLD + MARGIN, THRESHOLD - MARGIN, known)
+            if k == 0:
+                free[:bands] = now[:bands]
+            a.append(no[x])
+            b.append(no[y])
+        a_, b_ = np.concatenate(a), np.concatenate(b)
         return np.minimum(a_, b_), np.maximum(a_, b_), free
 
     def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -273,20 +292,23 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if end:
             a, b, _ = link(cell[:end], no[:end], blob[:end])
             held = [(cell[end:], no[end:], blob[end:])]
-        else:
+            yield out(a, b)
+        elif cell[0] < 0:
             a, b, free = link(cell, no, blob)
             held = [(cell[free], no[free], blob[free])]
+            yield out(a, b)
+        else:
+            held = [(cell, no, blob)]
         count = len(held[0][0])
         full = max(BUFFER, 2 * count)
-        yield out(a, b)
     if count:
         a, b, _ = link(*(np.concatenate(x) for x in zip(*held, strict=True)))
         yield out(a, b)
 
 
-def _hot(vectors: DataFrame, cell_rows: int, hot_rows: int, sample: int) -> np.ndarray:
+def _hot(vectors: DataFrame, hot_rows: int, sample: int) -> np.ndarray:
     """Cells that hold more than ``hot_rows`` rows, as far as one in ``sample`` leaders tells."""
-    some = vectors.where(F.pmod(F.xxhash64("node_no"), F.lit(sample)) == 0).mapInArrow(_spread(cell_rows), "cell long, node_no long, blob binary")
+    some = vectors.where(F.pmod(F.xxhash64("node_no"), F.lit(sample)) == 0).mapInArrow(_spread(1), "cell long, node_no long, blob binary")
     full = some.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") * sample > hot_rows)
     return np.array(sorted(r[0] for r in full.select("cell").toLocalIterator()), np.int64)
 
@@ -327,11 +349,10 @@ def _grouped(rows: DataFrame, hot_rows: int = HOT_ROWS, sample: int = SAMPLE) ->
     # a leader delivered twice may stand here twice; its links then repeat and are made distinct below
     vectors = led.where("leader is null").select("node_no", "vec")
     n = vectors.count()
-    cell_rows = next((k for k, most in MOST_LEADERS.items() if n < most), 3)
     # no cell holds more rows than there are leaders; each hot one stands for many rows, so they are few
-    hot = _hot(vectors, cell_rows, hot_rows, sample) if n > hot_rows else None
-    spread = vectors.mapInArrow(_spread(cell_rows, hot), "cell long, node_no long, blob binary")
-    parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-n * TABLES_OF[cell_rows] // PARTITION_ROWS))
+    hot = _hot(vectors, hot_rows, sample) if n > hot_rows else None
+    spread = vectors.mapInArrow(_spread(1, hot), "cell long, node_no long, blob binary")
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-n * TABLES // PARTITION_ROWS))
     near = spread.repartition(parts, "cell").sortWithinPartitions("cell", "node_no").mapInArrow(_cells, "a long, b long").distinct()
     sure = cut(_pair_cosines(near, vectors).where(F.col("c") >= THRESHOLD).select("a", "b").distinct())
     # a number that leads in one buffer may follow in another (delivered twice): such rows are edges as well

@@ -146,3 +146,18 @@ def test_single_pairs_across_buffers_at_every_size(spark, monkeypatch, cell_rows
     members, _ = S.clusters(one.union(two), hot_rows=20, sample=2)
     got = {(r.first_no, r.node_no) for r in members.where("node_no <> first_no").collect()}
     assert len(got & {(i, n + i) for i in range(n)}) >= 0.9 * n
+
+
+def test_unrelated_vectors_are_seldom_compared():
+    """The share of pairs compared, times the records, is the work for a record; it must stay small at a hundred million."""
+    rng = np.random.default_rng(31)
+    n = 20_000
+    u = rng.standard_normal((n, 64))
+    u = (u / np.linalg.norm(u, axis=1, keepdims=True)).astype(np.float32)
+    cells, values = S.Sketcher()(u)
+    pairs = 0
+    for t in range(S.TABLES):
+        for pair in S.PAIRS[t]:
+            size = np.unique(S.band_keys(cells[:, t], values, pair), return_counts=True)[1].astype(np.int64)
+            pairs += int((size * (size - 1) // 2).sum())
+    assert pairs / (n * (n - 1) / 2) < 2e-4
