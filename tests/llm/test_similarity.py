@@ -148,6 +148,31 @@ def test_single_pairs_across_buffers_at_every_size(spark, monkeypatch, cell_rows
     assert len(got & {(i, n + i) for i in range(n)}) >= 0.9 * n
 
 
+def _cell_table(x, hot=None):
+    u = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    batch = pa.record_batch([pa.array(np.arange(len(u))), pa.array([r.tobytes() for r in u], pa.binary())], names=["node_no", "vec"])
+    return pa.Table.from_batches(list(S._spread(1, hot)(iter([batch])))).sort_by([("cell", "ascending"), ("node_no", "ascending")])
+
+
+def test_links_are_the_same_in_whole_and_split_cells_and_in_every_buffer(monkeypatch):
+    rng = np.random.default_rng(12)
+    # loose chains, in which a link more or less changes what is joined, and tight groups
+    x = np.concatenate([make(rng, [40] * 5 + [9] * 20, 0.3), make(rng, [60, 60], 0.02)])
+    step = np.cumsum(rng.standard_normal((300, 64)) * 0.2, axis=0) + 2 * rng.standard_normal(64)
+    x = np.concatenate([x, step])
+    u = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    cells, _ = S.Sketcher()(u)
+    names = np.unique(cells)
+    got = []
+    for hot, buffer in ((None, 1 << 16), (None, 40), (names, 1 << 16), (names, 40), (names[::2], 40)):
+        monkeypatch.setattr(S, "BUFFER", buffer)
+        links = set()
+        for b in S._cells(iter(_cell_table(x, hot).to_batches(max_chunksize=25))):
+            links |= set(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        got.append(links)
+    assert len(got[0]) > 500 and all(g == got[0] for g in got)
+
+
 def test_unrelated_vectors_are_seldom_compared():
     """The share of pairs compared, times the records, is the work for a record; it must stay small at a hundred million."""
     rng = np.random.default_rng(31)
