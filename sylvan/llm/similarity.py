@@ -247,9 +247,9 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
         def cosine(i: np.ndarray, j: np.ndarray) -> np.ndarray:
             c = np.empty(len(i), np.float32)
-            for s in range(0, len(i), BUFFER):
-                x, y = i[s : s + BUFFER], j[s : s + BUFFER]
-                c[s : s + BUFFER] = np.einsum("ij,ij->i", q[x].astype(np.float32), q[y].astype(np.float32)) / (size[x] * size[y])
+            for s in range(0, len(i), 2048):  # stays in the cache
+                x, y = i[s : s + 2048], j[s : s + 2048]
+                c[s : s + 2048] = np.einsum("ij,ij->i", q[x].astype(np.float32), q[y].astype(np.float32)) / (size[x] * size[y])
             return c
 
         # equal cells stand together and come in order
