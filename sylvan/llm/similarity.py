@@ -7,20 +7,19 @@ general method verifies by Jaccard.
 
 Plan, for n records:
 
-* one pass over the vectors, no shuffle: within each buffer of rows buckets of two hashes are formed and
-  every row that is similar to an earlier one (its leader) is linked to it and drops out, so copies
-  and hot groups shrink to one row for each buffer before anything moves;
-* the leaders go once to each of their cells, one for each table, with 24 hashes and an int8 form of the vector (88 bytes), are
-  sorted by cell and linked to leaders inside the bands of the cell; a partition holds about a fixed number of rows;
-* candidate links are verified on the full vectors by two equi-joins;
+* every record goes once to each of its cells, one for each table, with 24 hashes and an int8 form of the vector (88 bytes); rows are
+  sorted by cell and number, and inside each band of a cell linked to the first similar row, the leader; a partition holds about a
+  fixed number of rows, a task only the leaders of the bands of a cell it is in, so hot groups shrink as they are read;
+* candidate links whose cosine the int8 vectors leave open (by a strict bound of their error) are verified on the full vectors by two equi-joins, after the files of the cells' shuffle are deleted;
 * connected components of the links form the groups; of a group whose members are not all similar
   to its medoid (the member of highest degree) only those similar to it stay together, and the
   others are clustered anew from their vectors, until no group is loose.
 
-The rule for candidates is the same at every size: two leaders are compared if they agree in a cell and in one
+The rule for candidates is the same at every size: two records may be compared if they agree in a cell and in one
 of its bands, three hashes together. Of random vectors one pair in two million does so in a band, one in ten thousand in any,
-which bounds the comparisons of a leader. Each band is worked off for itself, so a hot cell that is split by its
-bands to bound a task's memory gives the same links.
+which bounds the comparisons of a record. Each band is worked off for itself and in the order of the numbers. No record drops out
+before its cells, so the links, degrees and groups hang on the records alone: not on buffers, files, partitions or on which
+cells are split by their bands to bound a task's memory.
 """
 
 from __future__ import annotations
@@ -33,26 +32,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sylvan.operators.graph import connected_components
-from sylvan.session import cut
+from sylvan.session import cut, drop
 
 DIM = 64
 THRESHOLD = 0.9
 PROJECTIONS = 128
 TABLES, VALUES, BANDS = 8, 24, 24
-#: Tables by the number of hashes in a cell key. There is one rule; no number of leaders changes it.
+#: Tables by the number of hashes in a cell key. There is one rule; no number of records changes it.
 TABLES_OF = {1: TABLES}
 MOST_LEADERS: dict[int, int] = {}
 #: Inside the cells of table t the bands are 24 pairs of the 24 values, other pairs for each table.
 PAIRS = np.random.default_rng(7).permutation([(i, j) for i in range(VALUES) for j in range(i)])[: TABLES * BANDS].reshape(TABLES, BANDS, 2)
 #: Possible error of a cosine taken on int8 vectors; nearer to the threshold only the exact one decides.
 MARGIN = 0.006
+#: Greatest angle by which whole numbers turn a vector before it is rounded to int8; a test checks the fixed matrix.
+TURNED = 0.003
 BUFFER = 65_536
 #: Rows of one partition of cells, whatever the number of records.
 PARTITION_ROWS = 100_000
-#: A cell of more rows is split by its bands. Such cells are found on one in ``SAMPLE`` leaders; a cell missed is only slower.
+#: A cell of more leaders is split by its bands. Such cells are found on one in ``SAMPLE`` records; a cell missed only takes more memory.
 HOT_ROWS, SAMPLE = 1_600_000, 64
 
 
+def _whole(x: np.ndarray) -> np.ndarray:
+    """Unit vectors in whole numbers. No sum of a product of two passes 2**24, so float32 gives it exactly in whatever order it is taken."""
+    return np.rint(x * 4000).astype(np.float32)
+
+
 class Sketcher:
     """Fixed projections; the same on every worker."""
 
@@ -60,13 +66,13 @@ class Sketcher:
         r = np.random.default_rng(20240607)
         self.tables = TABLES_OF[cell_rows]
         # each hash has two bases of its own
-        self.axes = [np.concatenate([np.linalg.qr(r.standard_normal((DIM, DIM)))[0] for _ in range(PROJECTIONS // DIM)], axis=1).astype(np.float32) for _ in range(self.tables + VALUES)]
-        self.turn = np.linalg.qr(r.standard_normal((DIM, DIM)))[0].astype(np.float32)
+        self.axes = [_whole(np.concatenate([np.linalg.qr(r.standard_normal((DIM, DIM)))[0] for _ in range(PROJECTIONS // DIM)], axis=1)) for _ in range(self.tables + VALUES)]
+        self.turn = _whole(np.linalg.qr(r.standard_normal((DIM, DIM)))[0])
 
     def hashes(self, unit: np.ndarray, axes: list[np.ndarray]) -> np.ndarray:
         out = np.empty((len(unit), len(axes)), np.uint8)
         for a in range(0, len(unit), 2048):
-            part = unit[a : a + 2048]
+            part = _whole(unit[a : a + 2048])
             rows = np.arange(len(part))
             for k, x in enumerate(axes):
                 p = part @ x
@@ -83,7 +89,7 @@ class Sketcher:
 
     def int8(self, unit: np.ndarray) -> np.ndarray:
         """The vectors in int8, turned so that no coordinate stands out and coarsens the others."""
-        u = unit @ self.turn
+        u = _whole(unit) @ self.turn
         return np.rint(u * (127 / np.abs(u).max(axis=1, keepdims=True))).astype(np.int8)
 
 
@@ -155,52 +161,34 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(node_no, leader, vec)``: rows with their unit vector (float32 bytes), all but leaders with their leader."""
-    sketch = Sketcher()
-
-    def flush(no: list, xs: list) -> pa.RecordBatch:
-        n, x = np.concatenate(no), np.concatenate(xs)
-        n, one = np.unique(n, return_index=True)  # a row delivered twice counts once; smaller numbers lead
-        u = _unit(x[one])
-        cells = sketch.cells(u.astype(np.float32)) // TABLES
-        free = np.ones(len(n), bool)
-        leader = np.full(len(n), -1)
-
-        def cosine(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-            return np.einsum("ij,ij->i", u[i], u[j])
-
-        for t in range(TABLES):
-            a, b = lead(cells[:, t] * (2 * PROJECTIONS) + cells[:, t - 1], cosine, free, THRESHOLD, THRESHOLD)
-            leader[b] = a
-        while True:  # a row's leader may later have found its own
-            up = np.where(leader >= 0, leader[leader], -1)
-            if (up < 0).all():
-                break
-            leader = np.where(up >= 0, up, leader)
-        raw = u.astype(np.float32).tobytes()
+def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(node_no, vec)``: rows that have a number with their unit vector (float32 bytes)."""
+    for batch in batches:
+        ok, x = _vectors(batch.column(1))
+        known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)[ok]
+        ok, x = ok[known], x[known]
+        if not len(ok):
+            continue
+        raw = _unit(x).astype(np.float32).tobytes()
         w = DIM * 4
-        vec = [raw[i * w : (i + 1) * w] for i in range(len(n))]
-        return pa.record_batch([pa.array(n), pa.array(np.where(leader >= 0, n[leader], 0), mask=leader < 0), pa.array(vec, pa.binary())], names=["node_no", "leader", "vec"])
+        vec = [raw[i * w : (i + 1) * w] for i in range(len(ok))]
+        yield pa.record_batch([batch.column(0).take(pa.array(ok)), pa.array(vec, pa.binary())], names=["node_no", "vec"])
+
 
-    no, xs, held = [], [], 0
+def _thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``(node_no, vec)`` without those similar to an earlier one of their batch. Good for estimates only."""
+    sketch = Sketcher()
     for batch in batches:
-        ok, x = _vectors(batch.column(1))
-        number = batch.column(0)
-        known = number.is_valid().to_numpy(zero_copy_only=False)[ok]
-        if known.any():
-            no.append(number.take(pa.array(ok[known])).to_numpy())
-            xs.append(x[known])
-            held += len(no[-1])
-        if held >= BUFFER:
-            yield flush(no, xs)
-            no, xs, held = [], [], 0
-    if held:
-        yield flush(no, xs)
+        u = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float32).reshape(-1, DIM)
+        cells = sketch.cells(u) // TABLES
+        free = np.ones(len(u), bool)
+        for t in range(TABLES):
+            lead(cells[:, t] * (2 * PROJECTIONS) + cells[:, t - 1], lambda i, j, u=u: np.einsum("ij,ij->i", u[i], u[j]), free, THRESHOLD, THRESHOLD)
+        yield batch.filter(pa.array(free))
 
 
 def _spread(cell_rows: int, hot: np.ndarray | None = None):
-    """Each leader once for each of its cells, with its hashes and int8 vector; in a cell
+    """Each record once for each of its cells, with its hashes and int8 vector; in a cell
     that is ``hot`` (sorted) once for each of its bands there, under a negative key of its own. Rows that
     share a band meet either way, so splitting a cell loses no candidate."""
     hot = np.empty(0, np.int64) if hot is None else hot
@@ -235,13 +223,12 @@ def _spread(cell_rows: int, hot: np.ndarray | None = None):
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate links ``(a, b)`` inside the cells of a partition sorted by cell and number. A cell that is
-    one band and too large for the buffer is worked off in parts, of which only the leaders are kept, which
-    changes no link; the parts double, so the leaders are gone through a logarithmic number of times. Another
-    cell is held until it ends; none has more than ``HOT_ROWS`` rows."""
+    """Candidate links ``(a, b, certain)`` inside the cells of a partition sorted by cell and number. A cell too large
+    for the buffer is worked off in parts, of which only the rows that lead in a band are kept, with one bit for each such band, which
+    changes no link; the parts double, so the leaders are gone through a logarithmic number of times."""
     w = VALUES + DIM
 
-    def link(cell: np.ndarray, no: np.ndarray, blob: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def link(cell: np.ndarray, no: np.ndarray, blob: np.ndarray, free: np.ndarray) -> tuple[pa.RecordBatch, np.ndarray]:
         values, q = blob[:, :VALUES], blob[:, VALUES:].view(np.int8)
         size = np.sqrt(np.einsum("ij,ij->i", q, q, dtype=np.float32))
 
@@ -259,57 +246,56 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = int(np.searchsorted(cell, 0))  # rows of cells that are one band already; their keys are negative
         table = cell[bands:] % TABLES
         known = np.full(len(no), -1)
-        free = np.ones(len(no), bool)
+        left = np.zeros(len(no), np.uint32)
         a, b = [], []
         for k in range(BANDS):
-            now = np.ones(len(no), bool)
-            now[:bands] = k == 0
+            now = (free >> np.uint32(k) & np.uint32(1)).astype(bool)
             keys = c * (2 * PROJECTIONS) ** 2
             at = np.arange(bands, len(no))
             keys[bands:] += values[at, PAIRS[table, k, 0]].astype(np.int64) * (2 * PROJECTIONS) + values[at, PAIRS[table, k, 1]]
             x, y = lead(keys, cosine, now, THRESHOLD + MARGIN, THRESHOLD - MARGIN, known)
-            if k == 0:
-                free[:bands] = now[:bands]
-            a.append(no[x])
-            b.append(no[y])
-        a_, b_ = np.concatenate(a), np.concatenate(b)
-        return np.minimum(a_, b_), np.maximum(a_, b_), free
-
-    def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        keep = a != b
-        return pa.record_batch([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
+            left |= now.astype(np.uint32) << np.uint32(k)
+            a.append(x)
+            b.append(y)
+        x, y = np.concatenate(a), np.concatenate(b)
+        keep = no[x] != no[y]
+        x, y = x[keep], y[keep]
+        # each of the 64 numbers is rounded by a half at most
+        off = np.arcsin(np.minimum(0.5 * np.sqrt(DIM) / size.astype(np.float64), 1)) + TURNED
+        certain = np.arccos(np.clip(cosine(x, y).astype(np.float64), -1, 1)) + off[x] + off[y] < np.arccos(THRESHOLD) - 1e-6
+        return pa.record_batch([pa.array(np.minimum(no[x], no[y])), pa.array(np.maximum(no[x], no[y])), pa.array(certain)], names=["a", "b", "certain"]), left
 
     held: list[tuple] = []
     count, full = 0, BUFFER
     for batch in batches:
         blob = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, w)
-        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), blob))
+        cell = batch.column(0).to_numpy()
+        # a bit for each band in which the row is free; a cell that is one band has the first only
+        held.append((cell, batch.column(1).to_numpy(), blob, np.where(cell < 0, 1, (1 << BANDS) - 1).astype(np.uint32)))
         count += len(blob)
         if count < full:
             continue
-        cell, no, blob = (np.concatenate(x) for x in zip(*held, strict=True))
+        cell, no, blob, free = (np.concatenate(x) for x in zip(*held, strict=True))
         end = int(np.searchsorted(cell, cell[-1]))
         if end:
-            a, b, _ = link(cell[:end], no[:end], blob[:end])
-            held = [(cell[end:], no[end:], blob[end:])]
-            yield out(a, b)
-        elif cell[0] < 0:
-            a, b, free = link(cell, no, blob)
-            held = [(cell[free], no[free], blob[free])]
-            yield out(a, b)
+            links, _ = link(cell[:end], no[:end], blob[:end], free[:end])
+            held = [(cell[end:], no[end:], blob[end:], free[end:])]
         else:
-            held = [(cell, no, blob)]
+            links, left = link(cell, no, blob, free)
+            keep = left > 0
+            held = [(cell[keep], no[keep], blob[keep], left[keep])]
+        yield links
         count = len(held[0][0])
         full = max(BUFFER, 2 * count)
     if count:
-        a, b, _ = link(*(np.concatenate(x) for x in zip(*held, strict=True)))
-        yield out(a, b)
+        yield link(*(np.concatenate(x) for x in zip(*held, strict=True)))[0]
 
 
 def _hot(vectors: DataFrame, hot_rows: int, sample: int) -> np.ndarray:
-    """Cells that hold more than ``hot_rows`` rows, as far as one in ``sample`` leaders tells."""
-    some = vectors.where(F.pmod(F.xxhash64("node_no"), F.lit(sample)) == 0).mapInArrow(_spread(1), "cell long, node_no long, blob binary")
-    full = some.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") * sample > hot_rows)
+    """Cells that hold more than ``hot_rows`` leaders, as far as one in ``sample`` records tells. Which they are changes no link."""
+    some = vectors.where(F.pmod(F.xxhash64("node_no"), F.lit(sample)) == 0).mapInArrow(_thin, "node_no long, vec binary")
+    full = some.mapInArrow(_spread(1), "cell long, node_no long, blob binary")
+    full = full.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") * sample > hot_rows)
     return np.array(sorted(r[0] for r in full.select("cell").toLocalIterator()), np.int64)
 
 
@@ -343,29 +329,35 @@ def _judge(links: DataFrame, groups: DataFrame, vectors: DataFrame) -> DataFrame
     return cut(other.union(medoid.select(F.col("a").alias("node"), F.col("a").alias("medoid"), F.lit(True).alias("near"))))
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """:func:`cut`, after which the files of the shuffles behind it are deleted; nothing else reads them."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        return cut(df)
+    finally:
+        conf.set(key, before)
+
+
 def _grouped(rows: DataFrame, hot_rows: int = HOT_ROWS, sample: int = SAMPLE) -> tuple[DataFrame, DataFrame]:
-    """One round: ``(node, medoid, near)`` of the members of groups, and the leaders' vectors."""
-    led = cut(rows.mapInArrow(contract, "node_no long, leader long, vec binary"))
-    # a leader delivered twice may stand here twice; its links then repeat and are made distinct below
-    vectors = led.where("leader is null").select("node_no", "vec")
+    """One round: ``(node, medoid, near)`` of the members of groups, and the records' vectors."""
+    # a record delivered twice may stand here twice; its links then repeat and are made distinct below
+    vectors = cut(rows.mapInArrow(units, "node_no long, vec binary"))
     n = vectors.count()
-    # no cell holds more rows than there are leaders; each hot one stands for many rows, so they are few
+    # no cell holds more rows than there are records; each hot one stands for many rows, so they are few
     hot = _hot(vectors, hot_rows, sample) if n > hot_rows else None
     spread = vectors.mapInArrow(_spread(1, hot), "cell long, node_no long, blob binary")
     parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-n * TABLES // PARTITION_ROWS))
-    near = spread.repartition(parts, "cell").sortWithinPartitions("cell", "node_no").mapInArrow(_cells, "a long, b long").distinct()
-    sure = cut(_pair_cosines(near, vectors).where(F.col("c") >= THRESHOLD).select("a", "b").distinct())
-    # a number that leads in one buffer may follow in another (delivered twice): such rows are edges as well
-    local = led.where("leader is not null and leader <> node_no").select(F.col("leader").alias("a"), F.col("node_no").alias("b"))
-    comp = connected_components(sure).distinct()
-    follow = cut(local.join(comp.withColumnRenamed("node", "a").hint("merge"), "a", "left").select(F.col("b").alias("node"), "a", F.coalesce("component", "a").alias("component")))
-    members = follow.select("node", "component").union(follow.select(F.col("a").alias("node"), "component")).union(comp.select("node", "component"))
-    members = cut(members.groupBy("node").agg(F.min("component").alias("component")))
-    return _judge(sure.union(local), members, led.select("node_no", "vec")), vectors
+    near = _cut(spread.repartition(parts, "cell").sortWithinPartitions("cell", "node_no").mapInArrow(_cells, "a long, b long, certain boolean").distinct())
+    exact = _pair_cosines(near.where("not certain").select("a", "b"), vectors).where(F.col("c") >= THRESHOLD)
+    sure = _cut(near.where("certain").select("a", "b").union(exact.select("a", "b")).distinct())
+    drop(near)
+    return _judge(sure, connected_components(sure).distinct(), vectors), vectors
 
 
 def clusters(rows: DataFrame, hot_rows: int = HOT_ROWS, sample: int = SAMPLE) -> tuple[DataFrame, DataFrame]:
-    """``(node_no, first_no)`` of every record of a cluster of two or more, and the leaders'
+    """``(node_no, first_no)`` of every record of a cluster of two or more, and the records'
     vectors. ``rows``: ``(node_no, embedding)``. Rows with a null number or an unusable embedding
     are left out; a number delivered twice counts once; no usable rows give no clusters. Members not
     similar to their medoid go through the same steps again; each group leaves at least its medoid

@@ -186,3 +186,70 @@ def test_unrelated_vectors_are_seldom_compared():
             size = np.unique(S.band_keys(cells[:, t], values, pair), return_counts=True)[1].astype(np.int64)
             pairs += int((size * (size - 1) // 2).sum())
     assert pairs / (n * (n - 1) / 2) < 2e-4
+
+
+def test_groups_hang_on_the_records_alone(spark):
+    """Not on which records share a buffer or a file, on cells that are split, or on the size of the rest of the table."""
+    rng = np.random.default_rng(3)
+    n = 700
+
+    def near(x, s):
+        g = rng.standard_normal(x.shape)
+        y = x / np.linalg.norm(x, axis=1, keepdims=True) + s * g / np.linalg.norm(g, axis=1, keepdims=True)
+        return y * rng.uniform(0.1, 10, (len(x), 1))
+
+    base = rng.standard_normal((n, 64))
+    step = np.cumsum(rng.standard_normal((12, 64)) * 0.2, axis=0) + 2 * rng.standard_normal(64)  # a chain: similar, but not mutually
+    x = np.concatenate([near(base, 0.33), near(base, 0.33), near(base, 0.33), step])
+    more = rng.standard_normal((6000, 64))  # unrelated to all others
+
+    def table(v, first, parts):
+        return spark.createDataFrame([(first + i, r.tolist()) for i, r in enumerate(v)], "node_no long, embedding array<double>").coalesce(parts)
+
+    apart = table(x[:n], 0, 1).union(table(x[n : 2 * n], n, 1)).union(table(x[2 * n :], 2 * n, 2))
+    one = table(x, 0, 1)
+    got = []
+    for rows, hot in ((one, S.HOT_ROWS), (apart, 20), (one.union(table(more, len(x), 3)).repartition(5), S.HOT_ROWS)):
+        members, _ = S.clusters(rows, hot_rows=hot, sample=2)
+        got.append({(r.first_no, r.node_no) for r in members.collect()})
+    assert len(got[0]) > n and all(g == got[0] for g in got), [len(g ^ got[0]) for g in got]
+
+
+def test_a_hot_group_shrinks_to_the_leaders_of_its_bands(monkeypatch):
+    batches = _cell_table(make(np.random.default_rng(5), [3000], 0.02)).to_batches(max_chunksize=50)
+    concatenate, most = np.concatenate, 0
+
+    def watch(arrays, *args, **kwargs):
+        nonlocal most
+        out = concatenate(arrays, *args, **kwargs)
+        most = max(most, len(out) if out.ndim == 2 else 0)
+        return out
+
+    def links():
+        return {(a, b) for x in S._cells(iter(batches)) for a, b in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True)}
+
+    whole = links()
+    monkeypatch.setattr(S, "BUFFER", 100)
+    monkeypatch.setattr(S.np, "concatenate", watch)
+    assert links() == whole and most < 1000
+
+
+def test_links_called_certain_are_similar_however_vectors_are_rounded():
+    sketch = S.Sketcher()
+    # rounding of a unit vector to 1/4000 and the matrix that turns it
+    turn = np.linalg.svd(sketch.turn.astype(np.float64) / 4000 - np.linalg.qr(sketch.turn.astype(np.float64))[0] * np.sign(np.diag(np.linalg.qr(sketch.turn.astype(np.float64))[1])), compute_uv=False).max()
+    assert turn + 0.5 * 8 / 4000 < S.TURNED
+    rng = np.random.default_rng(8)
+    u = rng.standard_normal((6000, 64)) * np.where(rng.random((6000, 64)) < 0.1, 8, 1)  # some numbers stand out
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    w = rng.standard_normal(u.shape)
+    w -= (w * u).sum(axis=1, keepdims=True) * u
+    w /= np.linalg.norm(w, axis=1, keepdims=True)
+    c = rng.uniform(0.885, 0.96, (6000, 1))
+    both = np.stack([u, c * u + np.sqrt(1 - c * c) * w], axis=1).reshape(-1, 64)
+    certain = {}
+    for b in S._cells(iter(_cell_table(both).to_batches())):
+        certain |= {x: z for x, y, z in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True) if x % 2 == 0 and y == x + 1}
+    cosines = dict(zip(range(0, 12000, 2), c[:, 0], strict=True))
+    assert all(cosines[x] >= S.THRESHOLD for x, z in certain.items() if z)
+    assert all(z for x, z in certain.items() if cosines[x] > 0.94) and not all(z for x, z in certain.items() if cosines[x] > 0.9)
